@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import op1_query, op8_query
+from tidelog.llm import op1_query, op5_query, op8_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (op1_query, op8_query):
+for module in (op1_query, op5_query, op8_query):
     QUERIES[module.NAME] = module.query
     if getattr(module, "ORACLE", None):
         ORACLES[module.NAME] = module.ORACLE
