@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,3 +20,13 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder: a lost executor costs no recomputation of what came before."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def table(df: DataFrame) -> DataFrame:
+    """df as compressed Parquet in the shared folder, for results too large to keep as checkpointed rows; gone when the session ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
