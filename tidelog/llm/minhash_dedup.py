@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.cluster import cut
 from tidelog.llm.graph import components
+from tidelog.llm.keyed_links import SCHEMA, links, slice_rows
 from tidelog.llm.text_arrays import U, fold, mix, shingles, slices
 
 HASHES, BITS, CHUNKS = 96, 8, 16
@@ -83,56 +84,13 @@ def keys(signature: np.ndarray) -> np.ndarray:
     return out
 
 
-def chain(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted order, new: where a key begins, leader: the smallest node of each row's key, in that order)."""
-    order = np.lexsort((node, key))
-    k = key[order]
-    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
-    return order, new, node[order][np.flatnonzero(new)[np.cumsum(new) - 1]] if len(k) else node
-
-
-def _table(key: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b) if b is not None else pa.nulls(len(a), pa.int64())], ["key", "a", "b"])
-
-
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keep = a != b
-    pairs = np.unique(np.stack([a[keep], b[keep]], 1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
-    return pairs[:, 0], pairs[:, 1]
-
-
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each key of a slice and its smallest id; (leader, member) for the slice's other rows with that key."""
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
             node = np.repeat(part.column("id").to_numpy(zero_copy_only=False).astype(np.int64), HASHES)
             key = keys(np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)).ravel()
-            order, new, leader = chain(key, node)
-            yield _table(key[order][new], leader[new], None)
-            a, b = _distinct(leader, node[order])
-            yield _table(b, a, b)
-
-
-def _chain_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a partition's keys; batches come sorted by key, and only the last key is carried over."""
-    last_key, last_leader = None, None
-    for batch in batches:
-        b = batch.column("b")
-        linked = np.asarray(b.is_valid())
-        a = batch.column("a").to_numpy(zero_copy_only=False)
-        if linked.any():
-            yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b.drop_null())], ["a", "b"])
-        key, node = batch.column("key").to_numpy(zero_copy_only=False)[~linked], a[~linked]
-        if not len(key):
-            continue
-        new = np.r_[key[0] != last_key if last_key is not None else True, key[1:] != key[:-1]]
-        begins = np.flatnonzero(new)
-        which = np.cumsum(new) - 1
-        leader = np.where(which >= 0, node[begins[np.maximum(which, 0)]] if len(begins) else 0, last_leader if last_leader is not None else 0)
-        last_key, last_leader = key[-1], leader[-1]
-        x, y = _distinct(leader, node)
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+            yield from slice_rows(key, node)
 
 
 def search(ids: np.ndarray, hashes: np.ndarray, first: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
@@ -197,8 +155,7 @@ def _confirm(width: int, percent: int):
 
 def candidates(reps: DataFrame) -> DataFrame:
     """Candidate links (a, b) of sets; reps: (id, signature)."""
-    emitted = reps.mapInArrow(_emit_keys, "key long, a long, b long")
-    return emitted.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_chain_keys, "a long, b long").distinct()
+    return links(reps.mapInArrow(_emit_keys, SCHEMA))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
@@ -216,12 +173,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
     dealt = dealt.withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(others)))
     dealt = dealt.select("component", F.col("pair.x").alias("x"), F.col("pair.y").alias("y"), "id", "text")
-    links = dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(_confirm(width, percent), "a long, b long")
+    confirmed = dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(_confirm(width, percent), "a long, b long")
     # versions of one id are one node, also where a version's set has another representative
     versions = full.join(reps.select("set_a", "set_b", "n_shingles", "rep"), ["set_a", "set_b", "n_shingles"]).select("id", "rep")
     several = versions.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     tied = versions.join(several, "id").select("a", F.col("rep").alias("b"))
-    found = cut(components(links.unionByName(tied)))
+    found = cut(components(confirmed.unionByName(tied)))
     classes = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("class"))
     return sets.join(classes, ["set_a", "set_b", "n_shingles"], "left").select(
         "id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("component_id"),
