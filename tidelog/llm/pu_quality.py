@@ -235,14 +235,8 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_positives: int = MAX_POSITIVES) -> DataFrame:
-    """docs without its text, with held_out, score and predicted. labels: (key, label), 1 for trusted positives."""
-    new = ("held_out", "score", "predicted", text)
-    others = [c for c in docs.columns if c not in new and c != key]
-    base = docs.select(F.col(f"`{key}`").alias("id"), held_out(F.col(f"`{key}`")).alias("held"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)), F.col(f"`{text}`").cast("binary").alias("text"))
-    names = [c for c in base.columns if c != "text"]
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields if f.name != "text")
-    measured = table(base.mapInArrow(partial(_measure, others=names), f"{kinds}, x binary"))
+def train(measured: DataFrame, labels: DataFrame, key: str, label: str, max_positives: int) -> tuple | None:
+    """The model learned from measured (id, held, x) and labels (key, label)."""
     good = labels.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").alias("label")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
     good = good.groupBy("id").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least = 1 and most = 1")
     known = measured.select("id", "held", "x").where(~F.col("held") & F.col("id").isNotNull())
@@ -250,7 +244,37 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     n_good = good.count()
     order = F.pmod(F.xxhash64("id", F.lit("positives")), F.lit(1 << 30))
     good = good.where(order < int((1 << 30) * min(1.0, max_positives / max(1, n_good)))).select("id")
-    marked = known.join(good.withColumn("trusted", F.lit(True)), "id", "left").select("x", F.coalesce("trusted", F.lit(False)).alias("trusted"), (F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)) == 0).alias("half"))
-    model = fit(table(marked))
+    half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)) == 0
+    return fit(table(known.join(good.withColumn("trusted", F.lit(True)), "id", "left").select("x", F.coalesce("trusted", F.lit(False)).alias("trusted"), half.alias("half"))))
+
+
+def _measured(docs: DataFrame, key: str, text: str, others: list[str]) -> tuple[DataFrame, list[str], str]:
+    base = docs.select(F.col(f"`{key}`").alias("id"), held_out(F.col(f"`{key}`")).alias("held"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)), F.col(f"`{text}`").cast("binary").alias("text"))
+    names = [c for c in base.columns if c != "text"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields if f.name != "text")
+    return table(base.mapInArrow(partial(_measure, others=names), f"{kinds}, x binary")), names, kinds
+
+
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_positives: int = MAX_POSITIVES) -> DataFrame:
+    """docs without its text, with held_out, score and predicted. labels: (key, label), 1 for trusted positives."""
+    others = [c for c in docs.columns if c not in ("held_out", "score", "predicted", text, key)]
+    measured, names, kinds = _measured(docs, key, text, others)
+    model = train(measured, labels, key, label, max_positives)
     scored = measured.mapInArrow(partial(_score, model=model, others=names), f"{kinds}, score double")
     return scored.select(F.col("id").alias(key), *(F.col(f"c{i}").alias(c) for i, c in enumerate(others)), F.col("held").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def _keep(batches: Iterator[pa.RecordBatch], model, nr: int) -> Iterator[pa.RecordBatch]:
+    mean, scale, w, _ = model
+    for batch in batches:
+        for a, b, data, offsets in slices(batch.column(nr)):
+            x = measures(data, offsets).astype(np.float64)
+            s = np.round(1 / (1 + np.exp(-np.clip(_design(x, mean, scale) @ w, -500, 500))), 6)
+            yield batch.slice(a, b - a).filter(pa.array(s >= THRESHOLD))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_positives: int = MAX_POSITIVES) -> DataFrame:
+    """The rows of docs that the classifier doesn't reject, as they are. Texts are measured again rather than shuffled."""
+    measured, _, _ = _measured(docs, key, text, [])
+    model = train(measured, labels, key, label, max_positives)
+    return docs if model is None else docs.mapInArrow(partial(_keep, model=model, nr=docs.columns.index(text)), docs.schema)

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import op1_query, op10_query, op2_query, op3_query, op5_query, op6_query, op7_query, op8_query, op9_query
+from tidelog.llm import op1_query, op10_query, op2_query, op3_query, op4_query, op5_query, op6_query, op7_query, op8_query, op9_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (op1_query, op2_query, op3_query, op5_query, op6_query, op7_query, op8_query, op9_query, op10_query):
+for module in (op1_query, op2_query, op3_query, op4_query, op5_query, op6_query, op7_query, op8_query, op9_query, op10_query):
     QUERIES[module.NAME] = module.query
     if getattr(module, "ORACLE", None):
         ORACLES[module.NAME] = module.ORACLE
