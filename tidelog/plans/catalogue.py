@@ -1,30 +1,6 @@
-"""The query catalogue: name -> callable(spark, sf_dir), and name -> DuckDB SQL."""
+"""The query catalogue: every module of plans registers its queries when it is imported."""
 
-from __future__ import annotations
+from tidelog.plans import changes, gtids, logs, relays, scalars, sources, statistics, streams  # noqa: F401
+from tidelog.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def event_type_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(
-        F.count("*").alias("events"),
-        F.sum(F.octet_length("props")).cast("long").alias("bytes"),
-        F.round(F.avg("value"), 4).alias("avg_value"),
-        F.min("ts").alias("first_seen"),
-        F.max("ts").alias("last_seen"),
-    )
-
-
-QUERIES["event_type_stats"] = event_type_stats
-ORACLES["event_type_stats"] = """
-SELECT event_type, count(*) AS events, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes,
-       round(avg(value), 4) AS avg_value, min(ts) AS first_seen, max(ts) AS last_seen
-FROM events GROUP BY event_type
-"""
+__all__ = ["ORACLES", "QUERIES"]
