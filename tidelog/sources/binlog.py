@@ -6,13 +6,12 @@ executors, a file (or value) at a time, in order. ``BinlogSource`` is the same a
 
 Options of the source: path (a file, a folder or a pattern), mode (PERMISSIVE: problems in the error column, FAILFAST),
 startingPosition (earliest, latest, file:position), decodeRows (false: row events as raw bytes), types (event codes,
-comma-separated), maxEventsPerTrigger. Filters on event_type and file are pushed into the reader.
+comma-separated). Filters on event_type and file are pushed into the reader.
 """
 
 from __future__ import annotations
 
 import glob
-import json
 import os
 from collections.abc import Iterator
 from functools import partial
@@ -70,6 +69,12 @@ def read_logs(spark: SparkSession, path: str, **options) -> DataFrame:
     return decode_logs(files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").alias("data")), "data", "file", **options)
 
 
+def stream_logs(spark: SparkSession, path: str, files_per_trigger: int = 100, **options) -> DataFrame:
+    """Events of finished log files as they appear in a folder of any store, so many files a batch."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_trigger).load(path)
+    return decode_logs(files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").alias("data")), "data", "file", **options)
+
+
 def changes(events: DataFrame) -> DataFrame:
     """(file, pos, row_no, gtid, when, op, database_name, table_name, before, after): one row a changed row."""
     op = F.when(F.col("event_type").isin(*WRITES), "INSERT").when(F.col("event_type").isin(*UPDATES), "UPDATE").when(F.col("event_type").isin(*DELETES), "DELETE")
@@ -101,8 +106,8 @@ def from_gtid(events: DataFrame, executed: DataFrame) -> DataFrame:
     """Events whose transaction isn't in a set (source, start, end); events without a transaction stay."""
     from tidelog.operators.gtid import contains
 
-    keyed = events.withColumn("_source", F.substring_index("gtid", ":", 1)).withColumn("_number", F.substring_index("gtid", ":", -1).try_cast("bigint"))
-    return contains(keyed, executed, "_source", "_number", covered=False).drop("_source", "_number")
+    keyed = events.withColumn("_gtid_source", F.substring_index("gtid", ":", 1)).withColumn("_gtid_number", F.substring_index("gtid", ":", -1).try_cast("bigint"))
+    return contains(keyed, executed, "_gtid_source", "_gtid_number", covered=False).drop("_gtid_source", "_gtid_number")
 
 
 class _File(InputPartition):
@@ -119,13 +124,13 @@ def log_files(path: str) -> list[str]:
 class _Options:
     def __init__(self, options: dict, schema: StructType):
         self.arrow = to_arrow_schema(schema)
+        options = {k.lower(): v for k, v in options.items()}
         if not options.get("path"):
             raise ValueError("the option path is missing")
         self.path, self.strict = options["path"], options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
-        self.decode_rows = options.get("decodeRows", "true").lower() != "false"
+        self.decode_rows = options.get("decoderows", "true").lower() != "false"
         self.types = {int(x) for x in options["types"].split(",")} if options.get("types") else None
-        self.start = options.get("startingPosition", "earliest")
-        self.limit = int(options.get("maxEventsPerTrigger", 0))
+        self.start = options.get("startingposition", "earliest")
 
     def read(self, part: _File, types: set[int] | None) -> Iterator[pa.RecordBatch]:
         with open(part.path, "rb") as file:
@@ -187,57 +192,47 @@ class BinlogStream(DataSourceStreamReader):
 
     def __init__(self, options: dict, schema: StructType):
         self.options = _Options(options, schema)
-        self.last: dict[str, int] | None = None
+        self.ends: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
         start = self.options.start
         if start == "latest":
-            return {os.path.basename(p): self._end(p, 0, 0)[0] for p in log_files(self.options.path)}
+            return {os.path.basename(p): self._end(p, 0) for p in log_files(self.options.path)}
         file, _, position = start.rpartition(":")
         if not file:
             return {}
         return {name: (int(position) if name == file else os.path.getsize(p)) for p in log_files(self.options.path) if (name := os.path.basename(p)) <= file}
 
-    def _end(self, path: str, start: int, limit: int) -> tuple[int, int]:
-        """(end of complete events, their number) from a place on, by their headers alone."""
+    def _end(self, path: str, start: int) -> int:
+        """The end of complete events from a place on, by their headers alone."""
         with open(path, "rb") as file:
             size = os.path.getsize(path)
             at = start or (4 if file.read(4) == wire.MAGIC else 0)
-            n = 0
-            while at + wire.HEADER <= size and not (limit and n >= limit):
+            while at + wire.HEADER <= size:
                 file.seek(at)
                 own = int.from_bytes(file.read(wire.HEADER)[9:13], "little")
                 if own < wire.HEADER or at + own > size:
                     break
-                at, n = at + own, n + 1
-        return at, n
+                at += own
+        return at
 
     def latestOffset(self) -> dict:
-        ends = dict(self.last) if self.last is not None else dict(self.initialOffset())
-        left = self.options.limit
-        for path in log_files(self.options.path):
-            name = os.path.basename(path)
-            if self.options.limit and left <= 0:
-                break
-            ends[name], n = self._end(path, ends.get(name, 0), left)
-            left -= n
-        self.last = ends
-        return ends
+        """All that is complete. (A reader isn't told where its query stands, so it can't hand out less and stay in order;
+        stream_logs limits a batch by its number of files.)"""
+        self.ends = {os.path.basename(p): self._end(p, self.ends.get(os.path.basename(p), 0)) for p in log_files(self.options.path)}
+        return self.ends
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         paths = {os.path.basename(p): p for p in log_files(self.options.path)}
         return [_File(paths[n], start.get(n, 0), e) for n, e in end.items() if n in paths and e > start.get(n, 0)]
 
-    def commit(self, end: dict) -> None:
-        self.last = {**(self.last or {}), **end}
+    def commit(self, end: dict) -> None: ...
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         yield from self.options.read(partition, self.options.types)
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known to a session, and turns on the pushing of filters into Python sources, which it needs."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BinlogSource)
-
-
-def offset_text(offset: dict) -> str:
-    return json.dumps(offset, sort_keys=True)
