@@ -12,7 +12,8 @@ concatenated, and
    score (the leftmost of equals), until no edge spans two neighbours. Characters without a piece become byte pieces.
 
 The library encodes BPE models by joins and unigram models by best paths, so relaxation follows the model's own kind; the
-matching is the same for both. Units longer than LONG_UNIT characters (text without spaces) are joined one by one with a
+matching is the same for both. (Paths of a unigram model with exactly equal scores are tied; the library's choice among
+them hangs on the rounding of its sum over the text so far, so it may differ from the one here.) Units longer than LONG_UNIT characters (text without spaces) are joined one by one with a
 heap, in n log n steps, from the same edges. Texts are taken whole, a batch holds BATCH_BYTES, or one longer text.
 
 Only models that neither change characters nor remove spaces are accepted (identity normalisation, with or without a
@@ -34,8 +35,8 @@ from tidelog.llm.text_arrays import range_hashes
 
 MARK = "▁".encode()
 LONG_UNIT = 96
-BATCH_BYTES = 8 << 20
-MEMO_UNITS = 1 << 20
+BATCH_BYTES = 1 << 20
+MEMO_UNITS = 1 << 19
 PIECE_BITS = 24
 U = np.uint64
 
@@ -324,28 +325,32 @@ def _shortest(model: Model, data: np.ndarray, first: np.ndarray, edges: Edges) -
     at = np.r_[edges.code >> 6, chars[alone]]
     end = np.r_[(edges.code >> 6) + (edges.code & 63), char_end[alone]]
     gain = np.r_[model.scores[edges.piece], np.full(int(alone.sum()), unknown)]
+    bare = np.arange(len(at)) >= len(edges.code)
     unit = np.searchsorted(first, at, "right") - 1
     inside = end <= first[unit + 1]
-    at, end, gain, unit = at[inside], end[inside], gain[inside], unit[inside]
-    # places of a unit in turn: the edges that end at its k-th byte are relaxed together, for all units
+    at, end, gain, unit, bare = at[inside], end[inside], gain[inside], unit[inside], bare[inside]
+    # places of a unit in turn: the edges that end at its k-th byte are relaxed together, for all units. Sums are kept in
+    # single precision and compared in double, the earliest start first, as the library does: ties fall alike
     step = end - first[unit]
     by = np.lexsort((at, end, step))
-    at, end, gain, step = at[by], end[by], gain[by], step[by]
-    best, back = np.full(len(data) + len(first), -np.inf), np.full(len(data) + len(first), -1)
+    at, end, gain, step, bare = at[by], end[by], gain[by], step[by], bare[by]
+    best, back = np.full(len(data) + len(first), -np.inf, np.float32), np.full(len(data) + len(first), -1)
     shift = lambda p, u: p + u  # a unit's end is not the next one's beginning
     unit = np.searchsorted(first, at, "right") - 1
     best[shift(first[:-1], np.arange(len(first) - 1))] = 0
     cuts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]) if len(step) else np.zeros(0, np.int64)
     for low, high in zip(cuts, np.r_[cuts[1:], len(step)], strict=True):
         a, e, u = at[low:high], end[low:high], unit[low:high]
-        total = best[shift(a, u)] + gain[low:high]
+        total = best[shift(a, u)].astype(np.float64) + gain[low:high]
+        total = np.where(bare[low:high], total.astype(np.float32), total)
         begins = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
-        most = np.maximum.reduceat(total, begins)
         size = np.diff(np.r_[begins, len(e)])
-        hit = np.flatnonzero(total == np.repeat(most, size))
-        hit = hit[np.r_[True, e[hit][1:] != e[hit][:-1]]]
-        best[shift(e[hit], u[hit])] = total[hit]
-        back[shift(e[hit], u[hit])] = a[hit]
+        for k in range(int(size.max())):  # the k-th edge into each place; as few as pieces that end there
+            i = begins[size > k] + k
+            goal = shift(e[i], u[i])
+            better = i[total[i] > best[goal]]
+            goal = shift(e[better], u[better])
+            best[goal], back[goal] = total[better], a[better]
     place, unit = first[1:].copy(), np.arange(len(first) - 1)
     starts, units = [], []
     while len(place):
