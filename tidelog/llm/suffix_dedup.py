@@ -10,9 +10,11 @@ it would take as many rounds as the longest text has bytes. Here it orders exact
    that a passage of a third of all texts leaves one row a slice, then over all. Where an anchor has one run left,
    its windows occur once. Where it has several, they may share some windows: these runs go on.
 3. Their bytes are fetched. A window reaches at least SIDE bytes to the left or to the right of its anchor; the side and
-   those bytes' hash refine the anchor to a group of strings of at most 134 bytes, and a string alone in its group ends
-   there. The strings of the other groups are put in order by columnwise.construct, its transform and common prefixes
-   kept in sequential files; neighbours that share LENGTH bytes are equal windows, and all but the first are cut.
+   those bytes' hash refine the anchor to a group of strings of at most 68 bytes, and a string alone in its group ends
+   there. What a group has in common, K + SIDE bytes, is left out: of a window its other REST bytes remain, some before
+   that place and some after it. The strings of all groups are put in order by columnwise.construct, its transform and
+   common prefixes kept in sequential files; neighbours that share REST bytes, in one group and at one place, are equal
+   windows, and all but the first are cut.
 4. A group of more than GROUP_ROWS strings isn't gathered: its windows are counted one by one by their hash, with
    partial minima before the shuffle.
 5. The cut runs of windows join the texts, and what is left is returned.
@@ -40,9 +42,10 @@ from tidelog.llm.text_arrays import U, mix, range_hashes, slices
 LENGTH, K = 100, 32
 SPAN = LENGTH - K + 1  # places of an anchor in a window
 SIDE = (LENGTH - K) // 2
+REST = LENGTH - K - SIDE
 PIECE = 1 << 21
 PLACE_BITS = 22
-STRINGS = 4000
+STRINGS = 8000
 GROUP_ROWS = 20_000
 START_BITS = 40
 _NULL = -(1 << 63)
@@ -186,13 +189,14 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text and its shared runs: the bytes of the windows to the left side of an anchor, and of those to the right."""
+    """For each text and its shared runs: the windows to the left side of an anchor, and those to the right; each as its bytes
+    without those that the group has in common, and the number of bytes before these."""
     for batch in batches:
         ids, versions, texts = (batch.column(c).to_pylist() for c in ("id", "version", "text"))
         spans = batch.column("spans")
         flat, first = spans.flatten(), np.r_[0, np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
         starts, counts = flat.field("start").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False)
-        out: dict[str, list] = {"group": [], "id": [], "place": [], "bytes": []}
+        out: dict[str, list] = {"group": [], "id": [], "place": [], "before": [], "bytes": []}
         for k, text in enumerate(texts):
             data = np.frombuffer(text, np.uint8)
             for start, n in zip(starts[first[k] : first[k + 1]].tolist(), counts[first[k] : first[k + 1]].tolist(), strict=True):
@@ -206,28 +210,31 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     low = anchor - SIDE
                     out["group"].append(int(mix(mix(np.array([hash_])) + range_hashes(part, np.array([low]), np.array([anchor])) + U(1))[0].astype(np.int64)))
                     out["id"].append(ids[k]), out["place"].append((versions[k] << START_BITS) + start)
-                    out["bytes"].append(part[: left + LENGTH - 1].tobytes())
+                    out["before"].append(low)
+                    out["bytes"].append(part[:low].tobytes() + part[anchor + K : left + LENGTH - 1].tobytes())
                 if left < n:
                     high = anchor + K + SIDE
                     out["group"].append(int(mix(mix(np.array([hash_])) + range_hashes(part, np.array([anchor + K]), np.array([high])) + U(2))[0].astype(np.int64)))
                     out["id"].append(ids[k]), out["place"].append((versions[k] << START_BITS) + start + left)
-                    out["bytes"].append(part[left:].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out["group"], pa.int64()), pa.array(out["id"], pa.int64()), pa.array(out["place"], pa.int64()), pa.array(out["bytes"], pa.binary())], ["group", "id", "place", "bytes"])
+                    out["before"].append(anchor - left)
+                    out["bytes"].append(part[left:anchor].tobytes() + part[high:].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(out["group"], pa.int64()), pa.array(out["id"], pa.int64()), pa.array(out["place"], pa.int64()), pa.array(out["before"], pa.int32()), pa.array(out["bytes"], pa.binary())], ["group", "id", "place", "before", "bytes"])
 
 
 SPAN_SCHEMA = "id long, place long, n int"
 
 
-def repeats(strings: list[bytes], ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeats(strings: list[bytes], group: np.ndarray, before: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of each window that also starts earlier, by the strings' transform and common prefixes."""
     first = np.r_[0, np.cumsum([len(s) for s in strings])]
     _, shared, string, length = construct(np.frombuffer(b"".join(strings), np.uint8), first)
-    window = length >= LENGTH
-    same = np.cumsum(shared < LENGTH)
-    string, length, same = string[window], length[window], same[window]
+    window = length >= REST
+    same = np.cumsum(shared < REST)
+    string, length, same = string[window].astype(np.int64), length[window], same[window]
     offset = np.diff(first)[string] - length
     i, p = ids[string], places[string] + offset
-    order, new, leader = _first_of(same, np.zeros(len(same), np.int8), i, p)
+    # equal bytes in another group, or at another place of it, are another window
+    order, new, leader = _first_of(same, group[string] * (LENGTH + 1) + before[string] - offset, i, p)
     late = order[~new & ((i[order] != i[leader]) | (p[order] != p[leader]))]
     return string[late], offset[late]
 
@@ -243,15 +250,16 @@ def _spans(ids: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
 
 
 def _order_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of strings sorted by (group, bytes, id, place): repeated ones are cut whole; groups with several go to the column-wise construction."""
-    held: list[tuple[bytes, int, int]] = []
-    group: list[tuple[bytes, int, int]] = []
+    """Of strings sorted by (group, before, bytes, id, place): repeated ones are cut whole; groups with several go to the column-wise construction."""
+    held: list[tuple] = []
+    group: list[tuple] = []
     cut: list[tuple[int, int, int]] = []
 
     def build() -> Iterator[pa.RecordBatch]:
         if held:
-            ids, places = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64)
-            s, offset = repeats([x[0] for x in held], ids, places)
+            number = np.unique(np.array([x[4] for x in held], np.int64), return_inverse=True)[1]
+            before, ids, places = (np.array([x[k] for x in held], np.int64) for k in (1, 2, 3))
+            s, offset = repeats([x[0] for x in held], number, before, ids, places)
             yield _spans(ids[s], places[s] + offset)
             held.clear()
         if cut:
@@ -260,32 +268,35 @@ def _order_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     now = None
     for batch in batches:
-        for g, text, i, place in zip(*(batch.column(c).to_pylist() for c in ("group", "bytes", "id", "place")), strict=True):
+        for g, before, text, i, place in zip(*(batch.column(c).to_pylist() for c in ("group", "before", "bytes", "id", "place")), strict=True):
             if g != now:
                 if len(group) > 1:
                     held.extend(group)
                 now, group = g, []
                 if len(held) >= STRINGS:
                     yield from build()
-            if group and group[-1][0] == text:
-                if group[-1][1:] != (i, place):
-                    cut.append((i, place, len(text) - LENGTH + 1))
+            if group and group[-1][0] == text and group[-1][1] == before:
+                if group[-1][2:4] != (i, place):
+                    cut.append((i, place, len(text) - REST + 1))
             else:
-                group.append((text, i, place))
+                group.append((text, before, i, place, g))
     if len(group) > 1:
         held.extend(group)
     yield from build()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the strings of very large groups, by two hashes."""
+    """Every window of the strings of very large groups, by the hash of its bytes and that of its group and place."""
     for batch in batches:
         for a, b, data, offsets in slices(batch.column("bytes"), 1 << 17):
-            n = np.diff(offsets) - LENGTH + 1
+            n = np.diff(offsets) - REST + 1
             start = np.repeat(offsets[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             text = np.repeat(np.arange(a, b), n)
-            place = batch.column("place").to_numpy(zero_copy_only=False)[text] + start - offsets[text - a]
-            x, y = range_hashes(data, start, start + LENGTH), range_hashes(data, start, start + LENGTH // 2)
+            offset = start - offsets[text - a]
+            place = batch.column("place").to_numpy(zero_copy_only=False)[text] + offset
+            at = batch.column("before").to_numpy(zero_copy_only=False)[text] - offset
+            x = range_hashes(data, start, start + REST)
+            y = mix(batch.column("group").to_numpy(zero_copy_only=False)[text].view(U) + mix(at.astype(U) + U(9)))
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(batch.column("id").to_numpy(zero_copy_only=False)[text]), pa.array(place)], ["x", "y", "id", "place"])
 
 
@@ -296,12 +307,12 @@ def cut_spans(rows: DataFrame) -> DataFrame:
     start = F.expr(f"place & {(1 << START_BITS) - 1}").alias("start")
     version = F.shiftright("place", START_BITS).alias("version")
     shared = found.where(F.col("kind") == SHARED).groupBy("id", version).agg(F.collect_list(F.struct(start, "n")).alias("spans"))
-    strings = table(rows.join(shared, ["id", "version"]).mapInArrow(_strings, "group long, id long, place long, bytes binary"))
+    strings = table(rows.join(shared, ["id", "version"]).mapInArrow(_strings, "group long, id long, place long, before int, bytes binary"))
     sizes = strings.groupBy("group").count().where("count > 1")
     sizes = sizes.withColumn("large", F.col("count") > GROUP_ROWS).drop("count")
     several = strings.join(sizes, "group")
-    ordered = several.where("not large").repartition("group").sortWithinPartitions("group", "bytes", "id", "place").select("group", "bytes", "id", "place").mapInArrow(_order_strings, SPAN_SCHEMA)
-    windows = several.where("large").select("bytes", "id", "place").mapInArrow(_windows, "x long, y long, id long, place long")
+    ordered = several.where("not large").select("group", "before", "bytes", "id", "place").repartition("group").sortWithinPartitions("group", "before", "bytes", "id", "place").mapInArrow(_order_strings, SPAN_SCHEMA)
+    windows = several.where("large").select("group", "before", "bytes", "id", "place").mapInArrow(_windows, "x long, y long, id long, place long")
     firsts = windows.groupBy("x", "y").agg(F.min(F.struct("id", "place")).alias("first"))
     late = windows.join(firsts, ["x", "y"]).where("id <> first.id or place <> first.place").select("id", "place", F.lit(1).alias("n"))
     return found.where(F.col("kind") == CUT).select("id", "place", "n").unionByName(ordered).unionByName(late)
