@@ -38,6 +38,7 @@ from tidelog.llm.text_arrays import U, fold, mix, shingles, slices
 HASHES, BITS, CHUNKS = 96, 8, 16
 ROWS = HASHES // CHUNKS
 GROUP_BYTES = 24 << 20
+BROADCAST_GROUPS = 100_000
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=U)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = mix(np.arange(1001, HASHES + 1001, dtype=U)).astype(np.uint32)
 
@@ -169,7 +170,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     members = rows.join(groups, "id").withColumn("n", F.octet_length("text"))
     weights = groups.join(full.select("id", "n_shingles"), "id").groupBy("component").agg((F.sum("n_shingles") * 8).alias("bytes"))
     large = weights.where(F.col("bytes") > GROUP_BYTES).select("component", F.ceil(F.col("bytes") * 2 / GROUP_BYTES).cast("int").alias("blocks"))
-    dealt = members.join(large, "component", "left").withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int"))
+    # few groups are that large: their list is broadcast up to BROADCAST_GROUPS, so that texts aren't shuffled to meet it
+    large = cut(large)
+    dealt = members.join(F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large, "component", "left")
+    dealt = dealt.withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
     dealt = dealt.withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(others)))
     dealt = dealt.select("component", F.col("pair.x").alias("x"), F.col("pair.y").alias("y"), "id", "text")
