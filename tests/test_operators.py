@@ -197,3 +197,9 @@ def test_snapshots_and_routes(spark):
     rules = spark.createDataFrame([("x", ["d"], ["t", "t"], "y")], "task string, databases array<string>, tables array<string>, target string")
     assert catalog.route(feed.from_snapshot(rows, ["id"], "t").withColumn("database_name", F.lit("d")), rules).count() == 1
     assert [tuple(r) for r in catalog.tables_of(spark.createDataFrame([("DEF", "d", "t", "a, b", "")], "catalog string, database_name string, table_name string, primary_keys string, unique_keys string")).collect()] == [("default", "d", "t", ["a", "b"], [])]
+
+
+def test_samples_are_alike(spark):
+    rows = spark.range(10_000)
+    first, again = (sorted(r.id for r in stats.sample(df, "id", 0.1).collect()) for df in (rows, rows.repartition(5)))
+    assert first == again and 800 < len(first) < 1200 and stats.sample(rows, "id", 0.0).count() == 0 and stats.sample(rows, "id", 1.0).count() == 10_000

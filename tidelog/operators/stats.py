@@ -112,6 +112,11 @@ def derived(one: DataFrame) -> DataFrame:
     })
 
 
+def sample(rows: DataFrame, key: str, rate: float) -> DataFrame:
+    """Rows whose key's hash lies below the rate: the same rows on every run, and the same keys in every table."""
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(rate * (1 << 30)))
+
+
 def report(one: DataFrame, columns: list[str]) -> DataFrame:
     """A row's columns as lines of text."""
     return one.select(F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in columns)).alias("report"))
