@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.ordered import with_interval
+
 SPAN = 1 << 20
 
 
@@ -34,12 +36,9 @@ def merge(intervals: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def contains(rows: DataFrame, intervals: DataFrame, source: str, number: str, covered: bool = True, span: int = SPAN) -> DataFrame:
-    """Rows whose transaction the set holds, or, with covered=False, those it doesn't: an equi join on (source, range)."""
-    merged = merge(intervals)
-    cut = merged.withColumn("_range", F.explode(F.sequence(F.floor(F.col("start") / span), F.floor(F.col("end") / span))))
-    cut = cut.select(F.col("source").alias("_source"), F.col("start").alias("_start"), F.col("end").alias("_end"), "_range")
-    inside = (F.col(source) == F.col("_source")) & (F.floor(F.col(number) / span) == F.col("_range")) & F.col(number).between(F.col("_start"), F.col("_end"))
-    return rows.join(cut, inside, "left_semi" if covered else "left_anti")
+    """Rows whose transaction the set holds, or, with covered=False, those it doesn't (a null is in no set)."""
+    found = with_interval(rows, [source], number, merge(intervals).withColumnRenamed("source", source), "_held", span)
+    return found.where(F.col("_held").isNotNull() if covered else F.col("_held").isNull()).drop("_held")
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:

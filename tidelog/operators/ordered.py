@@ -71,6 +71,22 @@ def with_number(df: DataFrame, keys: list[str], order: str, out: str, span: int
     return with_running(df, keys, order, {out: F.lit(1).cast("long")}, span)
 
 
+def with_interval(rows: DataFrame, keys: list[str], number: str, intervals: DataFrame, out: str, span: int = SPAN) -> DataFrame:
+    """rows with the struct of the interval that holds their number; null if there is none.
+
+    intervals: keys, start, end (both included) and more columns; those of a key don't overlap. Intervals are cut at the ranges
+    of numbers, put among the rows of their range, and carried on in order: a sort, where a join on the range would compare each
+    row with every interval of it.
+    """
+    others = [c for c in intervals.columns if c not in keys]
+    cut = intervals.withColumn(_RANGE, F.explode(F.sequence(F.floor(F.col("start") / span), F.floor(F.col("end") / span))))
+    cut = cut.select(*keys, _RANGE, F.greatest(F.col("start"), F.col(_RANGE) * span).alias("_at"), F.lit(0).alias("_kind"), F.struct(*others).alias("_interval"))
+    own = rows.select(*keys, F.floor(F.col(number) / span).alias(_RANGE), F.col(number).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.struct(*rows.columns).alias("_row"))
+    order = Window.partitionBy(*keys, _RANGE).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = cut.unionByName(own, allowMissingColumns=True).withColumn("_last", F.last("_interval", ignorenulls=True).over(order)).where("_kind = 1")
+    return found.select("_row.*", F.when(F.col("_last.end") >= F.col("_at"), F.col("_last")).alias(out))
+
+
 def moving_average(df: DataFrame, keys: list[str], order: str, value: str, out: str, width: int = 100, span: int = SPAN) -> DataFrame:
     """df with the mean of the last `width` values, the row's own included: a difference of two running sums."""
     counted = with_running(df, keys, order, {"_n": F.lit(1).cast("long"), "_s": F.col(value).cast("decimal(38,6)")}, span)

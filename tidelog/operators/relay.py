@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordered import SPAN, with_number, with_running
+from tidelog.operators.ordered import SPAN, with_interval, with_number, with_running
 
 SEGMENT_ENTRIES, SEGMENT_BYTES, RING = 100, 10 << 20, 1024
 
@@ -44,10 +44,10 @@ def segment_table(entries: DataFrame, table: list[str]) -> DataFrame:
 
 
 def lookup(wanted: DataFrame, segments: DataFrame, table: list[str], span: int = SPAN) -> DataFrame:
-    """wanted (table, index) with the segment that holds it: an equi join on the table and a range of indexes."""
-    cut = segments.select(*table, "segment_id", "first_index", "last_index", F.explode(F.sequence(F.floor(F.col("first_index") / span), F.floor(F.col("last_index") / span))).alias("_range"))
-    keyed = wanted.withColumn("_range", F.floor(F.col("index") / span))
-    return keyed.join(cut, [*table, "_range"]).where("index between first_index and last_index").drop("_range")
+    """wanted (table, index) with segment_id, first_index and last_index of the segment that holds it; others are left out."""
+    spans = segments.select(*table, F.col("first_index").alias("start"), F.col("last_index").alias("end"), "segment_id")
+    found = with_interval(wanted, table, "index", spans, "_segment", span).where(F.col("_segment").isNotNull())
+    return found.select(*wanted.columns, "_segment.segment_id", F.col("_segment.start").alias("first_index"), F.col("_segment.end").alias("last_index"))
 
 
 def ring(entries: DataFrame, table: list[str], slots: int = RING) -> DataFrame:
