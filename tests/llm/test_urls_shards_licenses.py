@@ -116,3 +116,18 @@ def test_licenses(spark):
         mine = (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, pytest.approx(r.score))
         assert mine == scan_brute(r.text), (r.doc_id, r.text[:80] if r.text else r.text)
     assert license_scan.scan(docs.where("false"), PHRASES, TEMPLATES, THRESHOLD).count() == 0
+
+
+def test_wrapped_notices(spark):
+    """Every template, hard-wrapped in a comment, between lines of other text."""
+    texts, names = [], list(TEMPLATES)
+    for name in names:
+        for width in (1, 4, 9):
+            words = TEMPLATES[name].split()
+            texts.append("\n".join(["some first line.", "", *("# " + " ".join(words[k : k + width]) for k in range(0, len(words), width)), "#", "last line"]))
+    texts += ["copyright all\n\nrights reserved", "copyright all.\nrights reserved", "copyright all\n" + "x\n" * 200 + "rights reserved", "x\n" * 333 + "copyright all\r\nrights reserved" + "\nx" * 333]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs, {"mit license": "mit"}, TEMPLATES, THRESHOLD, wrapped=True).collect()}
+    for k in range(3 * len(names)):
+        assert names[k // 3] in got[k].labels.split(",") and got[k].score == 1.0, texts[k]
+    assert [got[3 * len(names) + k].labels for k in range(4)] == ["", "", "", "all-rights-reserved"]

@@ -11,6 +11,11 @@ how many blocks of the whole corpus hold them, rarest first. A block that meets
 - and if the first common word stands at place p of T and q of B, in that order, then need <= min(|T| - p, |B| - q), both
   counted from 0 (positional filter).
 
+With wrapped=True a sentence may also run over line feeds (it ends at one of .!?;: and a space or a line feed, or at a line
+without words). Where it does, its stretches of 2 * SPAN words, one from every SPAN-th word on, are blocks as well, SPAN being
+twice the words of the longest template: a notice with up to as many words put in between is inside one of them, however its
+lines are cut. Without it, lines are judged one by one, as the query's SQL does.
+
 Words that no template has take no part, so most blocks are left before anything is joined. Templates are a short list
 in Python (at most MAX_TEMPLATES): their words' counts, and nothing else, come to the driver, and their prefixes are
 broadcast. All expressions are DataFrame functions.
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLOCK_END = "\n|[.!?;:] "
+SENTENCE_END = r"[.!?;:](?: |\r?\n)|\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n"
 MAX_TEMPLATES = 1000
 NEW = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
@@ -50,8 +56,8 @@ def _phrase(phrase: str) -> str:
     return " " + "  ".join(phrase.split()) + " "
 
 
-def scan(docs: DataFrame, phrases: dict[str, str], templates: dict[str, str], threshold: float = 0.8, text: str = "text") -> DataFrame:
-    """docs with n_words, n_base, first_word, last_word, base_labels, labels and score."""
+def scan(docs: DataFrame, phrases: dict[str, str], templates: dict[str, str], threshold: float = 0.8, text: str = "text", wrapped: bool = False) -> DataFrame:
+    """docs with n_words, n_base, first_word, last_word, base_labels, labels and score. wrapped: also match over line feeds."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     keep = [c for c in docs.columns if c not in NEW]
@@ -75,8 +81,21 @@ def scan(docs: DataFrame, phrases: dict[str, str], templates: dict[str, str], th
     sets = {label: sorted(set(body.split())) for label, body in templates.items()}
     need = {label: math.ceil(round(threshold * len(words), 9)) for label, words in sets.items()}
     known = sorted({w for words in sets.values() for w in words})
-    lines = rows.select("row", F.explode(F.split(F.translate("own_text", UPPER, LOWER), BLOCK_END)).alias("line"))
-    lines = lines.select("row", F.array_intersect(F.split("line", NO_WORD), F.array(*map(F.lit, known))).alias("block")).where(F.size("block") >= min(need.values()))
+    own = lambda words: F.array_intersect(words, F.array(*map(F.lit, known)))
+    low = F.translate("own_text", UPPER, LOWER)
+    if wrapped:
+        span = 2 * max(len(body.split()) for body in templates.values())
+        sentences = rows.select("row", F.explode(F.split(low, SENTENCE_END)).alias("line"))
+        # a sentence that holds too few words of templates has no block that holds more
+        sentences = sentences.where(F.size(own(F.split("line", NO_WORD))) >= min(need.values()))
+        words = F.split("line", NO_WORD)
+        stretches = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - span - 1, F.lit(0)), F.lit(span)), lambda at: F.slice(words, at + 1, 2 * span))
+        single = F.transform(F.split("line", BLOCK_END), lambda line: F.split(line, NO_WORD))
+        sentences = sentences.select("row", F.explode(F.when(F.contains(F.col("line"), F.lit("\n")), F.concat(single, stretches)).otherwise(single)).alias("words"))
+        lines = sentences.select("row", own(F.col("words")).alias("block"))
+    else:
+        lines = rows.select("row", F.explode(F.split(low, BLOCK_END)).alias("line")).select("row", own(F.split("line", NO_WORD)).alias("block"))
+    lines = lines.where(F.size("block") >= min(need.values()))
     counts = {r.word: r.n for r in lines.select(F.explode("block").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     rank = {w: i for i, w in enumerate(sorted(known, key=lambda w: (counts.get(w, 0), w)))}
     index, ordered = [], {t: sorted(rank[w] for w in ws) for t, ws in sets.items()}

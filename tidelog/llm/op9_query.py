@@ -24,7 +24,7 @@ TEMPLATES = {
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scan(docs, PHRASES, TEMPLATES, THRESHOLD).drop("text")
+    return scan(docs, PHRASES, TEMPLATES, THRESHOLD, wrapped=True).drop("text")
 
 
 def _sql() -> str:
