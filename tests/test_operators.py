@@ -203,3 +203,9 @@ def test_samples_are_alike(spark):
     rows = spark.range(10_000)
     first, again = (sorted(r.id for r in stats.sample(df, "id", 0.1).collect()) for df in (rows, rows.repartition(5)))
     assert first == again and 800 < len(first) < 1200 and stats.sample(rows, "id", 0.0).count() == 0 and stats.sample(rows, "id", 1.0).count() == 10_000
+
+
+def test_a_set_of_many_intervals(spark):
+    n = (1 << 20) + 5
+    sets = spark.range(1).select(F.concat(F.lit("u:"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: (2 * k).cast("string")), ":")).alias("gtid_set"))
+    assert gtid.parse(sets).agg(F.count("*"), F.max("end")).first() == (n, 2 * n)

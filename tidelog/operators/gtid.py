@@ -76,7 +76,7 @@ def set_text(intervals: DataFrame) -> DataFrame:
 def parse(sets: DataFrame, text: str = "gtid_set") -> DataFrame:
     """(source, start, end) of ``uuid:1-3:5,uuid:7``; single numbers are intervals of one, what isn't a number is left out."""
     entries = sets.select(F.explode(F.split(F.col(text), r"\s*,\s*")).alias("entry"))
-    spans = entries.select(F.trim(F.substring_index("entry", ":", 1)).alias("source"), F.explode(F.slice(F.split("entry", ":"), 2, 1 << 20)).alias("span"))
+    spans = entries.select(F.trim(F.substring_index("entry", ":", 1)).alias("source"), F.explode(F.slice(F.split("entry", ":"), 2, F.size(F.split("entry", ":")))).alias("span"))
     start, end = F.substring_index("span", "-", 1).try_cast("bigint"), F.substring_index("span", "-", -1).try_cast("bigint")
     return spans.select("source", start.alias("start"), end.alias("end")).where("start is not null and end is not null and start <= end")
 
