@@ -81,6 +81,53 @@ def test_every_occurrence_is_found(data, patterns):
         assert sorted(order[a:b].tolist()) == [i for i in range(len(data)) if data.startswith(p, i)]
 
 
+def test_pieces_of_many_bytes():
+    """A model whose longest piece has 64 bytes, and one longer than any fixed width."""
+    for length in (16, 40):
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(BPE)
+        low = min(p.score for p in proto.pieces if p.type == 1)
+        known = {p.piece for p in proto.pieces}
+        for k in range(1, length + 1):
+            if "😀" * k not in known:
+                piece = proto.pieces.add()
+                piece.piece, piece.score, piece.type = "😀" * k, low - k, 1
+        data = proto.SerializeToString()
+        model = Model.load(data)
+        assert model.longest == 4 * length
+        library = sentencepiece.SentencePieceProcessor(model_proto=data)
+        texts = ["😀" * n for n in range(1, 2 * length + 3)] + ["a " + "😀" * length + " b", "😀" * 300]
+        assert ours(Encoder(model), texts) == library.encode(texts)
+
+
+def test_units_that_share_a_hash(monkeypatch):
+    from tidelog.llm import pieces
+
+    library = sentencepiece.SentencePieceProcessor(model_proto=BPE)
+    texts = ["one two three one", "four  five six", " one", "one", "", "seven"]
+    monkeypatch.setattr(pieces, "range_hashes", lambda data, start, end: (end - start).astype(np.uint64) % np.uint64(3))
+    encoder = Encoder(Model.load(BPE))
+    assert ours(encoder, texts) == library.encode(texts) == ours(encoder, texts)
+    assert ours(encoder, texts[::-1]) == library.encode(texts[::-1])
+
+
+def test_bytes_that_are_no_text(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"ab \xff\xfe cd")), (2, bytearray(b"\xe6\x97")), (3, bytearray(b"fine")), (4, None)], "doc_id long, text binary")
+    found = {r.doc_id: r for r in encode(docs, BPE).collect()}
+    library = sentencepiece.SentencePieceProcessor(model_proto=BPE)
+    assert found[1].ids == library.encode("ab \ufffd\ufffd cd") and found[2].ids == library.encode("\ufffd") and found[3].ids == library.encode("fine")
+    assert [found[i].restored for i in (1, 2, 3, 4)] == [False, False, True, True]
+
+
+def test_a_piece_with_nul_is_refused():
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(BPE)
+    piece = proto.pieces.add()
+    piece.piece, piece.score, piece.type = "a\0b", -1, 1
+    with pytest.raises(ValueError, match="NUL"):
+        Model.load(proto.SerializeToString())
+
+
 def test_columns(spark):
     rows = [(1, "two  spaces"), (2, None), (3, ""), (1, "two  spaces"), (4, "word " * 50_000), (5, "x▁y"), (6, "a" * 5000)]
     docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, n_tokens int")

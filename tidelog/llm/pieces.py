@@ -17,10 +17,11 @@ them hangs on the rounding of its sum over the text so far, so it may differ fro
 heap, in n log n steps, from the same edges. Texts are taken whole, a batch holds BATCH_BYTES, or one longer text.
 
 Only models that neither change characters nor remove spaces are accepted (identity normalisation, with or without a
-leading space mark), and no pieces that a user defined; others raise ValueError.
+leading space mark), and no pieces that a user defined or that hold a NUL; others raise ValueError.
 
 Decoding gathers the pieces' bytes, a leading space mark's space left out; unknown ids give " \\u2047 ", control ids
-nothing. A batch remembers what it has encoded: units are told by a 64-bit hash and their length, and looked up later.
+nothing. An encoder remembers the units of the last batches: they are looked up by a 64-bit hash, and their bytes are then
+compared, so that a unit whose hash another one has is encoded on its own.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ MARK = "▁".encode()
 LONG_UNIT = 96
 BATCH_BYTES = 1 << 20
 MEMO_UNITS = 1 << 19
-PIECE_BITS = 24
 U = np.uint64
 
 
@@ -71,6 +71,7 @@ def _fields(data: bytes):
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+SYMBOLS = 7  # bytes, each raised by one so that 0 is the end, that a 64-bit key holds at 9 bits
 
 
 @dataclass
@@ -102,6 +103,8 @@ class Model:
                 own = dict(_fields(value))
                 charsmap, prefix, squeeze = own.get(2, b""), bool(own.get(3, 1)), bool(own.get(4, 1))
         kinds_ = np.array(kinds)
+        if any(b"\0" in p for p in pieces):
+            raise ValueError("a piece that holds NUL")
         if charsmap or squeeze or np.isin(kinds_, (USER, UNUSED)).any() or any(MARK in p.removeprefix(MARK * (len(p) // 3 if p == MARK * (len(p) // 3) else 1)) for p, k in zip(pieces, kinds, strict=True) if k == NORMAL):
             raise ValueError("a model that this encoder doesn't express")
         byte_ids = np.full(256, -1)
@@ -113,6 +116,8 @@ class Model:
     def __post_init__(self) -> None:
         self.normal = np.flatnonzero(self.kinds == NORMAL)
         self.longest = max(len(self.pieces[i]) for i in self.normal)
+        self.base = self.longest + 1  # an edge's place and size as one number: place * base + size
+        self.piece_bits = max(1, len(self.normal).bit_length())
         body = [self.pieces[i] for i in self.normal]
         self.flat = np.frombuffer(b"".join(body), np.uint8)
         self.first = np.r_[0, np.cumsum([len(p) for p in body])]
@@ -128,13 +133,14 @@ def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of the `depth` bytes that begin there; the end sorts first."""
+    """Positions in the order of the `depth` bytes that begin there; the end sorts before every byte."""
     n = len(data)
-    padded = np.zeros(n + 8, np.uint8)
+    padded = np.zeros(n + SYMBOLS, np.uint16)
     padded[:n] = data
+    padded[:n] += 1
     key = np.zeros(n, U)
-    for k in range(7):
-        key = (key << U(8)) | padded[k : k + n]
+    for k in range(SYMBOLS):
+        key = (key << U(9)) | padded[k : k + n]
     order = np.argsort(key)
     ordered = key[order]
     new = np.r_[True, ordered[1:] != ordered[:-1]]
@@ -143,7 +149,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     rank = np.empty(n, U)
     rank[order] = np.repeat(begins, size).astype(U)
     slots = np.flatnonzero(np.repeat(size > 1, size))  # places whose strings aren't told apart yet
-    width = 7
+    width = SYMBOLS
     while width < depth and len(slots):
         at = order[slots]
         beyond = at + width
@@ -165,17 +171,18 @@ def occurrences(data: np.ndarray, order: np.ndarray, flat: np.ndarray, first: np
     """(low, high): the ranges of `order` whose suffixes begin with each pattern, by two binary searches of all at once."""
     n, size = len(data), np.diff(first)
     longest = int(size.max())
-    padded = np.r_[data, np.zeros(longest, np.uint8)]
-    words = -(-longest // 7)
+    padded = np.r_[data.astype(np.uint16) + 1, np.zeros(longest, np.uint16)]
+    raised = flat.astype(np.uint16) + 1
+    words = -(-longest // SYMBOLS)
 
     def packed(source: np.ndarray, at: np.ndarray, k: int, left: np.ndarray) -> np.ndarray:
         out = np.zeros(len(at), U)
-        for j in range(7 * k, 7 * k + 7):
+        for j in range(SYMBOLS * k, SYMBOLS * (k + 1)):
             inside = j < left
-            out = (out << U(8)) | np.where(inside, source[np.minimum(at + j, len(source) - 1)], 0).astype(U)
+            out = (out << U(9)) | np.where(inside, source[np.minimum(at + j, len(source) - 1)], 0).astype(U)
         return out
 
-    wanted = [packed(flat, first[:-1], k, size) for k in range(words)]
+    wanted = [packed(raised, first[:-1], k, size) for k in range(words)]
 
     def search(upper: bool) -> np.ndarray:
         low, high = np.zeros(len(size), np.int64), np.full(len(size), n, np.int64)
@@ -187,7 +194,7 @@ def occurrences(data: np.ndarray, order: np.ndarray, flat: np.ndarray, first: np
             at = order[middle]
             below, equal = np.zeros(len(open_), bool), np.ones(len(open_), bool)
             for k in range(words):
-                live = np.flatnonzero(equal & (size[open_] > 7 * k))
+                live = np.flatnonzero(equal & (size[open_] > SYMBOLS * k))
                 if not len(live):
                     break
                 got, want = packed(padded, at[live], k, size[open_][live]), wanted[k][open_][live]
@@ -210,12 +217,15 @@ class Edges:
         piece = np.repeat(np.arange(len(count)), count)
         at = order[ragged(low, count)]
         size = np.diff(model.first)[piece]
-        code = np.sort(((at.astype(np.int64) * 64 + size) << PIECE_BITS) | piece)
-        self.code, self.piece = code >> PIECE_BITS, model.normal[code & ((1 << PIECE_BITS) - 1)]
+        self.base, bits = model.base, model.piece_bits
+        if (len(data) * self.base) >> (63 - bits):
+            raise ValueError(f"a batch of {len(data)} bytes for pieces of up to {model.longest}")
+        code = np.sort(((at.astype(np.int64) * self.base + size) << bits) | piece)
+        self.code, self.piece = code >> bits, model.normal[code & ((1 << bits) - 1)]
 
     def find(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The piece that spans these bytes, or -1."""
-        wanted = np.where(size < 64, at * 64 + size, -1)
+        wanted = np.where(size < self.base, at * self.base + size, -1)
         if not len(self.code):
             return np.full(len(wanted), -1)
         k = np.minimum(np.searchsorted(self.code, wanted), len(self.code) - 1)
@@ -262,9 +272,9 @@ def _joined(model: Model, data: np.ndarray, first: np.ndarray, edges: Edges) ->
     done_start, done_unit = [], []
     for u in long.tolist():
         own = start[unit == u].tolist() if len(long) < 4 else start[np.searchsorted(unit, u) : np.searchsorted(unit, u, "right")].tolist()
-        low, high = np.searchsorted(edges.code, (first[u] * 64, first[u + 1] * 64))
+        low, high = np.searchsorted(edges.code, (first[u] * edges.base, first[u + 1] * edges.base))
         known = dict(zip(edges.code[low:high].tolist(), edges.piece[low:high].tolist(), strict=True))
-        tokens = _join_long(own, int(first[u + 1]), lambda at, n, known=known: known.get(at * 64 + n, -1) if n < 64 else -1, model.scores)
+        tokens = _join_long(own, int(first[u + 1]), lambda at, n, known=known: known.get(at * edges.base + n, -1) if n < edges.base else -1, model.scores)
         done_start.append(np.array(tokens))
         done_unit.append(np.full(len(tokens), u))
     keep = per_unit[unit] <= LONG_UNIT
@@ -322,8 +332,8 @@ def _shortest(model: Model, data: np.ndarray, first: np.ndarray, edges: Edges) -
     char_end = np.r_[chars[1:], len(data)]
     alone = edges.find(chars, char_end - chars) < 0
     unknown = model.scores[model.normal].min() - 10
-    at = np.r_[edges.code >> 6, chars[alone]]
-    end = np.r_[(edges.code >> 6) + (edges.code & 63), char_end[alone]]
+    at, size = np.divmod(edges.code, edges.base)
+    at, end = np.r_[at, chars[alone]], np.r_[at + size, char_end[alone]]
     gain = np.r_[model.scores[edges.piece], np.full(int(alone.sum()), unknown)]
     bare = np.arange(len(at)) >= len(edges.code)
     unit = np.searchsorted(first, at, "right") - 1
@@ -421,49 +431,66 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes batches of texts; units seen before are remembered, up to MEMO_UNITS of them, then forgotten all at once."""
+    """Encodes batches of texts; units of earlier batches are remembered, up to MEMO_UNITS of them, then forgotten all at once."""
 
     def __init__(self, model: Model):
         self.model = model
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.sizes = pd.Index(np.zeros(0, U)), np.zeros(0, np.int64)
+        self.hashes = pd.Index(np.zeros(0, U))
+        self.bytes, self.starts, self.leads = np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool)
         self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def _fresh(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes as they are, ids, where each unit's begin) of units data[start[i]:start[i]+size[i]]."""
+        own = data[ragged(start, size)]
+        return own, *encode_units(self.model, *marked(own, np.r_[0, np.cumsum(size)], lead))
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, where each text's begin) of valid UTF-8 texts data[offsets[i]:offsets[i+1]]."""
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         start = unit_starts(data, offsets)
-        end = np.r_[start[1:], len(data)]
+        size = np.diff(np.r_[start, len(data)])
         lead = np.zeros(len(start), bool)
         lead[np.searchsorted(start, offsets[:-1][np.diff(offsets) > 0])] = self.model.prefix
-        # equal units are told by a 64-bit hash, and by their lengths; each is encoded once
-        hashes = range_hashes(data, start, end)
+        # units with one hash are taken for equal, each kind is encoded once, and then their bytes are compared
+        hashes = range_hashes(data, start, start + size)
         hashes[lead] = hashes[lead] * U(0xC2B2AE3D27D4EB4F) + U(1)
         of, own_hashes = pd.factorize(hashes)
         own = np.empty(len(own_hashes), np.int64)
         own[of[::-1]] = np.arange(len(of) - 1, -1, -1)
-        size = (end - start)[own]
         if len(self.hashes) > MEMO_UNITS:
             self.forget()
         known = self.hashes.get_indexer(own_hashes)
         fresh = np.flatnonzero(known < 0)
         if len(fresh):
             f = own[fresh]
-            units, first = marked(data[ragged(start[f], size[fresh])], np.r_[0, np.cumsum(size[fresh])], lead[f])
-            ids, at = encode_units(self.model, units, first)
+            raw, ids, at = self._fresh(data, start[f], size[f], lead[f])
             known[fresh] = len(self.hashes) + np.arange(len(fresh))
             self.first = np.r_[self.first, len(self.ids) + at[1:]]
             self.ids = np.r_[self.ids, ids]
-            self.sizes = np.r_[self.sizes, size[fresh]]
+            self.starts = np.r_[self.starts, len(self.bytes) + np.cumsum(size[f])]
+            self.bytes = np.r_[self.bytes, raw]
+            self.leads = np.r_[self.leads, lead[f]]
             self.hashes = pd.Index(np.r_[self.hashes.to_numpy(), own_hashes[fresh]])
-        if (self.sizes[known][of] != end - start).any():
-            raise ValueError("two units with one hash")
-        count = np.diff(self.first)[known][of]
+        unit = known[of]
+        first, count, ids = self.first[:-1][unit], np.diff(self.first)[unit], self.ids
+        other = (np.diff(self.starts)[unit] != size) | (self.leads[unit] != lead)
+        same = np.flatnonzero(~other)
+        differ = np.r_[False, self.bytes[ragged(self.starts[:-1][unit[same]], size[same])] != data[ragged(start[same], size[same])]]
+        if differ.any():
+            ends = np.cumsum(size[same])
+            sums = np.cumsum(differ)
+            other[same] = sums[ends] != sums[ends - size[same]]
+        if other.any():
+            o = np.flatnonzero(other)
+            _, extra, at = self._fresh(data, start[o], size[o], lead[o])
+            first[o], count[o] = len(ids) + at[:-1], np.diff(at)
+            ids = np.r_[ids, extra]
         sums = np.r_[0, np.cumsum(count)]
-        return self.ids[ragged(self.first[:-1][known][of], count)], sums[np.searchsorted(start, offsets)]
+        return ids[ragged(first, count)], sums[np.searchsorted(start, offsets)]
 
 
 def decode(model: Model, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

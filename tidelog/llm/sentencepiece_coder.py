@@ -3,7 +3,8 @@
 The model's bytes (at most MAX_MODEL_BYTES, checked) are broadcast; nothing is read from a folder by an executor, nothing
 is shuffled, and a batch's memory is bounded by BATCH_BYTES of text or by its longest text.
 
-Defined results: a null or empty text has no ids and decodes to an empty text. Repeated rows are encoded row by row. Other
+Defined results: a null or empty text has no ids and decodes to an empty text. Bytes that aren't valid UTF-8 are read as
+U+FFFD, as make_valid_utf8 places it, and such a text isn't ``restored``. Repeated rows are encoded row by row. Other
 columns pass through; clashing names are replaced. An empty table gives an empty result. ``restored`` tells whether decoding
 gives the text back; it doesn't where a text holds the space mark U+2581 itself, which the model can't tell from a space.
 """
@@ -42,7 +43,8 @@ def _encode(batches: Iterator[pa.RecordBatch], model: Broadcast, others: list[st
             little = ids.astype("<i4")
             cut = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
             back = [decoded[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            same = [x == data[i:j].tobytes() for x, i, j in zip(back, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            valid = batch.column("valid").slice(a, b - a).to_pylist()
+            same = [v and x == data[i:j].tobytes() for v, x, i, j in zip(valid, back, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             kept = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)) if with_ids else pa.nulls(b - a, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -85,7 +87,8 @@ def _numbered(df: DataFrame, without: tuple[str, ...]) -> tuple[list[str], list,
 def encode(docs: DataFrame, model: bytes, text: str = "text", with_ids: bool = True) -> DataFrame:
     """docs without its text, with ids (null unless with_ids), n_tokens, the digests of ids and of their decoding, and restored."""
     others, columns, names, kinds = _numbered(docs, (text, *NEW))
-    base = docs.select(*columns, F.col(f"`{text}`").cast("binary").alias("text"))
+    whole = F.col(f"`{text}`").cast("string")
+    base = docs.select(*columns, F.make_valid_utf8(whole).cast("binary").alias("text"), F.coalesce(F.is_valid_utf8(whole), F.lit(True)).alias("valid"))
     run = partial(_encode, model=_shipped(docs, model), others=names, with_ids=with_ids)
     done = base.mapInArrow(run, f"{kinds}ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string, restored boolean")
     return done.select(*(F.col(n).alias(c) for n, c in zip(names, others, strict=True)), *NEW)
