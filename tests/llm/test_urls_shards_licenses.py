@@ -50,6 +50,30 @@ def test_many_rules(spark):
     assert judge(spark.createDataFrame(rows, "page_id long, url string"), [], default="block").where("verdict = 'block' and rule is null").count() == 400
 
 
+def test_rows_in_any_order(spark):
+    """Inputs that a round-robin repartition deals out, whose rows stand elsewhere when fewer columns are read."""
+    urls = [(i, rng_url, f"{i % 7}") for i, rng_url in enumerate(random.Random(5).choices([u for u in URLS if u], k=1500))]
+    pages = spark.createDataFrame(urls, "page_id long, url string, other string").repartition(5, "other").repartition(37)
+    for limit in (100_000, 0):
+        got = judge(pages, RULES, broadcast_limit=limit).select("page_id", "host", "path", "rule", "verdict").collect()
+        assert {tuple(r) for r in got} == {(i, *brute(u, RULES)) for i, u, _ in urls} and len(got) == len(urls)
+    texts = [(i, t, f"{i % 5}") for i, t in enumerate(random.Random(6).choices([*TEMPLATES.values(), "MIT license", "none", "", "a mit license b"], k=600))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, other string").repartition(5, "other").repartition(37)
+    got = license_scan.scan(docs, PHRASES, TEMPLATES, THRESHOLD).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score").collect()
+    assert {r.doc_id: tuple(r)[1:-1] for r in got} == {i: scan_brute(t)[:-1] for i, t, _ in texts} and len(got) == len(texts)
+
+
+def test_templates_in_chunks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t and t.upper()) for i, t in enumerate([*TEMPLATES.values(), "mit license", None])], "doc_id long, text string")
+    rows = lambda: sorted(map(tuple, license_scan.scan(docs, PHRASES, TEMPLATES, THRESHOLD).collect()))
+    whole = rows()
+    monkeypatch.setattr(license_scan, "CHUNK", 3)
+    monkeypatch.setattr(license_scan, "BROADCAST_FOUND", 0)
+    assert rows() == whole
+    assert [r.labels for r in license_scan.scan(docs, PHRASES, {}).orderBy("doc_id").collect()][-2:] == ["mit", ""]
+    assert license_scan.scan(docs, {}, TEMPLATES).where("labels <> ''").count() == len(TEMPLATES)
+
+
 def test_shards(spark, tmp_path):
     rng = random.Random(2)
     rows = [(i, "x" * rng.randint(0, 300)) for i in range(800)] + [(None, None), (None, "a"), (900, "y" * 5000), (901, "same" * 100), *[(901, "same" * 100)] * 20]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm.license_scan import LOWER, UPPER, scan
+from tidelog.llm.license_scan import LOWER, NO_WORD, SENTENCE_END, UPPER, scan
 
 NAME = "op9_license_scans"
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -29,7 +29,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    places = []
+    places, span = [], 2 * max(len(body.split()) for body in TEMPLATES.values())
     for phrase, label in PHRASES.items():
         parts = phrase.split()
         test = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts))
@@ -40,7 +40,11 @@ WITH t(template, ws, size) AS (VALUES {known}),
 lowered AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
 counted AS (SELECT doc_id, low, regexp_extract_all(low, '{word}') AS w FROM lowered),
 placed AS (SELECT doc_id, low, w, list_concat({places[0]}, list_concat({places[1]}, {places[2]})) AS hits FROM counted),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(regexp_split_to_array(low, '\n|[.!?;:] ')), '{word}')) AS b FROM lowered),
+sentences AS (SELECT doc_id, unnest(regexp_split_to_array(low, '{SENTENCE_END}')) AS sentence FROM lowered),
+lines AS (SELECT doc_id, regexp_split_to_array(unnest(regexp_split_to_array(sentence, '\n|[.!?;:] ')), '{NO_WORD}') AS ws FROM sentences),
+whole AS (SELECT doc_id, regexp_split_to_array(sentence, '{NO_WORD}') AS ws FROM sentences WHERE contains(sentence, chr(10))),
+stretches AS (SELECT doc_id, unnest(list_transform(range(0, greatest(len(ws) - {span} - 1, 0) + 1, {span}), lambda i: ws[i + 1 : i + {2 * span}])) AS ws FROM whole),
+blocks AS (SELECT doc_id, list_distinct(ws) AS b FROM (FROM lines UNION ALL FROM stretches)),
 met AS (SELECT doc_id, template, max(len(list_intersect(b, ws)) / size) AS containment
         FROM blocks, t WHERE len(b) > 0 AND len(list_intersect(b, ws)) >= ceil(round({THRESHOLD} * size, 9)) GROUP BY ALL),
 found AS (SELECT doc_id, list(template) AS ts, max(containment) AS containment FROM met GROUP BY ALL)
