@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tempfile
 
 import numpy as np
 import pytest
@@ -15,9 +16,12 @@ from tidelog.llm.suffix_dedup import LENGTH, deduplicate
 
 def brute(rows):
     """rows: (id, text) with unique ids. Each: bytes, removed, spans, digest."""
+    return brute_bytes({i: (text or "").encode() for i, text in rows})
+
+
+def brute_bytes(texts):
     seen, out = set(), {}
-    for i, text in sorted(rows, key=lambda r: r[0]):
-        data = (text or "").encode()
+    for i, data in sorted(texts.items()):
         gone = np.zeros(len(data), bool)
         for at in range(len(data) - LENGTH + 1):
             window = data[at : at + LENGTH]
@@ -69,8 +73,8 @@ def test_long_texts_in_pieces(spark, monkeypatch):
     assert got(spark, rows) == brute(rows)
 
 
-def test_very_large_groups_are_counted(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", 3)
+def test_large_groups_are_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STRINGS", 3)
     rows = corpus(4)
     assert got(spark, rows) == brute(rows)
 
@@ -94,13 +98,44 @@ def test_odd_rows(spark):
     assert clash.n_bytes == 300
 
 
-@given(st.lists(st.binary(min_size=1, max_size=12).map(lambda b: bytes(x % 3 + 97 for x in b)), min_size=1, max_size=12))
-@settings(max_examples=150, deadline=None)
-def test_column_wise_construction(strings):
+def test_the_construction_decides(spark, monkeypatch):
+    """Without the windows that the construction finds, texts keep bytes that repeat."""
+    rows = corpus(1)
+    whole = got(spark, rows)
+    broken = "def broken(batches, folder):\n    for batch in batches:\n        pass\n    return iter(())\n"
+    space = {}
+    exec(broken, space)  # a function by value, so that Python workers get it too
+    monkeypatch.setattr(suffix_dedup, "_order_strings", space["broken"])
+    assert sum(x[1] for x in got(spark, rows).values()) < sum(x[1] for x in whole.values())
+
+
+def test_many_rows_without_an_id(spark):
+    """20,000 of them, in the order of their texts' hashes; and an id that is the least long, one that repeats, and bytes 255."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    shared = ["".join(rng.choices("abcdefgh ", k=400)) for _ in range(50)]
+    texts = ["".join(rng.choices("abcdefgh ", k=rng.randint(0, 60))) + (s := rng.choice(shared))[(a := rng.randint(0, 200)) : a + rng.randint(0, 200)] for _ in range(20_000)]
+    rows = [(None, t.encode()) for t in texts] + [(-(1 << 63), texts[5].encode()), (7, b"\xff" * 150), (7, b"\xff" * 90 + texts[6].encode()), (7, b"\xff" * 150)]
+    docs = spark.createDataFrame([(k, i, bytearray(t)) for k, (i, t) in enumerate(rows)], "k int, doc_id long, text binary").repartition(7)
+    null = F.col("doc_id").isNull()
+    order = [(r.k, (r.id, r.h1, r.h2)) for r in docs.select("k", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64(null, "text").alias("h1"), F.xxhash64(F.lit(2), null, "text").alias("h2")).collect()]
+    keys = dict(order)
+    places = {key: n for n, key in enumerate(sorted(set(keys.values())))}
+    expected = brute_bytes({places[keys[k]]: t for k, (_, t) in enumerate(rows)})
+    found = deduplicate(docs).select("k", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert len(found) == len(rows)
+    assert {r.k: tuple(r)[1:] for r in found} == {k: expected[places[keys[k]]] for k in range(len(rows))}
+
+
+@given(st.lists(st.binary(min_size=1, max_size=12).map(lambda b: bytes((97, 98, 255)[x % 3] for x in b)), min_size=1, max_size=12), st.sampled_from([1, 2, 7, 1 << 20]))
+@settings(max_examples=200, deadline=None)
+def test_column_wise_construction(strings, block):
     first = np.r_[0, np.cumsum([len(s) for s in strings])]
-    b, shared, string, length = construct(np.frombuffer(b"".join(strings), np.uint8), first)
+    b, shared, string, length = construct(np.frombuffer(b"".join(strings), np.uint8), first, tempfile.gettempdir(), block)
+    end = 256 if any(255 in s for s in strings) else 255
     suffixes = sorted((s[len(s) - n :], i, n) for i, s in enumerate(strings) for n in range(len(s) + 1))
     assert [(i, n) for _, i, n in suffixes] == list(zip(string.tolist(), length.tolist(), strict=True))
-    assert [strings[i][len(strings[i]) - n - 1] if n < len(strings[i]) else 255 for _, i, n in suffixes] == b.tolist()
+    assert [strings[i][len(strings[i]) - n - 1] if n < len(strings[i]) else end for _, i, n in suffixes] == b.tolist()
     common = lambda x, y: next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
     assert [0] + [common(x[0], y[0]) for x, y in zip(suffixes, suffixes[1:], strict=False)] == shared.tolist()
