@@ -9,6 +9,8 @@ how many blocks hold them, of all blocks of the corpus that pass the length filt
 threshold with T
 
 - has at least need = ceil(threshold * |T|) words that some template has (length filter);
+- holds one of any |T| - need + 1 words of T: texts and sentences without the longest ones of any template are passed over
+  before they are cut into words;
 - holds one of T's |T| - need + 1 rarest words (prefix: only these are joined, an equi-join on the word's rank);
 - and if the first common word stands at place p of T and q of B, in that order, then need <= min(|T| - p, |B| - q), both
   counted from 0 (positional filter).
@@ -79,11 +81,19 @@ def _may_hold(text: Column, phrase: str) -> Column:
     return reduce(lambda x, y: x & y, (F.contains(low, F.lit(w)) for w in parts), F.lit(True))
 
 
-def _blocks(rows: DataFrame, known: list[str], least: int, span: int, wrapped: bool) -> DataFrame:
+def _marks(sets: dict[str, list[str]], need: dict[str, int]) -> list[str]:
+    """Words of which every block that meets a template holds one: each template's |T| - need + 1 longest, or nothing where one isn't ASCII."""
+    marks = {w for t, ws in sets.items() for w in sorted(ws, key=lambda w: (-len(w), w))[: len(ws) - need[t] + 1]}
+    return sorted(marks) if all(w.isascii() for w in marks) else []
+
+
+def _blocks(rows: DataFrame, known: list[str], marks: list[str], least: int, span: int, wrapped: bool) -> DataFrame:
     """(k1, k2, block): the known words of each block that has at least `least` of them; rows: (k1, k2, own_text)."""
     own = lambda words: F.array_intersect(words, F.array(*map(F.lit, known)))
     # lower() is fast and finds no fewer words than folding A-Z does; what passes is folded exactly
-    lines = rows.select("k1", "k2", F.explode(F.split("own_text", SENTENCE_END if wrapped else BLOCK_END)).alias("line"))
+    marked = lambda text: reduce(lambda x, y: x | y, (F.contains(F.lower(text), F.lit(w)) for w in marks)) if marks else F.lit(True)
+    lines = rows.where(marked("own_text")).select("k1", "k2", F.explode(F.split("own_text", SENTENCE_END if wrapped else BLOCK_END)).alias("line"))
+    lines = lines.where(marked("line"))
     if all(w.isascii() for w in known):
         lines = lines.where(F.size(own(F.split(F.lower("line"), NO_WORD))) >= least)
     lines = lines.select("k1", "k2", F.translate("line", UPPER, LOWER).alias("line"))
@@ -101,7 +111,7 @@ def _found(rows: DataFrame, templates: dict[str, str], threshold: float, wrapped
     sets = {label: sorted(set(body.split())) for label, body in templates.items()}
     need = {label: math.ceil(round(threshold * len(words), 9)) for label, words in sets.items()}
     known = sorted({w for words in sets.values() for w in words})
-    blocks = table(_blocks(rows, known, min(need.values()), 2 * max(len(body.split()) for body in templates.values()), wrapped).distinct())
+    blocks = table(_blocks(rows, known, _marks(sets, need), min(need.values()), 2 * max(len(body.split()) for body in templates.values()), wrapped).distinct())
     counts = {r.word: r.n for r in blocks.select(F.explode("block").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     rank = {w: i for i, w in enumerate(sorted(known, key=lambda w: (counts.get(w, 0), w)))}
     index, ordered = [], {t: sorted(rank[w] for w in ws) for t, ws in sets.items()}
