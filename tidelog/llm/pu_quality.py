@@ -5,8 +5,10 @@ a class prior p, the risk of a score g under the logistic loss l is
 
     p E_pos[l(g)] + max(0, E_unl[l(-g)] - p E_pos[l(-g)])
 
-(du Plessis et al.; Kiryo et al.). Where the bracket is negative the model explains positives away, and the step goes
-against that term alone. Each text is a fixed list of measures (shares of kinds of bytes and words, repetition, lengths),
+(du Plessis et al.; Kiryo et al.). With scores linear in the measures and a ridge on the weights this risk is convex: it is
+the greater of two convex functions, with the bracket and without. Its least is found by Newton steps; where the bracket
+would be negative there, the least lies where it is 0, and the steps solve for the weights and its multiplier together, until
+they move by less than TOLERANCE. Each text is a fixed list of measures (shares of kinds of bytes and words, repetition, lengths),
 taken of the whole text; the score is logistic in them. Nothing else of a row is read for its score.
 
 - Measures are taken once, and written to the shared folder with two marks: trusted, and open to learning.
@@ -15,7 +17,8 @@ taken of the whole text; the score is logistic in them. Nothing else of a row is
   those with the least hash of their id, are used; the unlabelled rows are all used.
 - The class prior is estimated first: a plain classifier of positives against unlabelled text is fitted, both scores are
   counted in BINS bins (by partial sums), and the prior is the least ratio of the two upper tails, with a confidence
-  margin (best bin estimation, Garg et al.). Half of the positives, those that it wasn't fitted on, are counted.
+  margin (best bin estimation, Garg et al.), less two standard errors: a prior that is too high makes junk good, and one that
+  is a little too low does no harm. Half of the positives, those that it wasn't fitted on, are counted.
 
 Defined results: null and empty texts have measures of 0 and get a score. Null ids have no label and aren't held out, and
 learn nothing. A repeated id has one label; where its labels differ the row is no positive. Without any positive or any open
@@ -25,6 +28,7 @@ empty result.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from functools import partial
 
@@ -40,7 +44,7 @@ MAX_POSITIVES = 200_000
 BINS = 1000
 PRIOR = 0.5
 THRESHOLD = 0.3
-STEPS, RIDGE = 12, 0.05
+STEPS, RIDGE, TOLERANCE = 30, 0.05, 1e-2
 NAMES = (
     "bytes", "words", "word_length", "upper", "digits", "shout", "marks", "bars", "stops", "other_marks", "wide", "lines",
     "repeats", "repeats_2", "short", "long", "bare", "odd_end", "capitals", "begins_upper",
@@ -164,7 +168,7 @@ def _add_up(rows: DataFrame, job) -> np.ndarray:
 
 
 def estimated_prior(unlabelled: np.ndarray, positives: np.ndarray, risk: float = 0.1) -> float:
-    """The least ratio of upper tails, each with its margin of confidence."""
+    """The least ratio of upper tails, each with its margin of confidence; two standard errors less."""
     n_u, n_p = unlabelled.sum(), positives.sum()
     if not n_u or not n_p:
         return PRIOR
@@ -174,7 +178,33 @@ def estimated_prior(unlabelled: np.ndarray, positives: np.ndarray, risk: float =
     if not len(at):
         return PRIOR
     best = at[np.argmin((tail_u[at] + margin) / tail_p[at])]
-    return float(np.clip(tail_u[best] / tail_p[best], 0.01, 0.99))
+    u, p = tail_u[best], tail_p[best]
+    error = np.sqrt(u * (1 - u) / n_u + (u / p) ** 2 * p * (1 - p) / n_p) / p
+    return float(np.clip(u / p - 2 * error, 0.01, 0.99))
+
+
+def step(w: np.ndarray, free: bool, prior: float, ridge: np.ndarray, sums: tuple) -> tuple[np.ndarray, bool]:
+    """(the next step of the weights, whether the bracket stays free to be positive).
+
+    sums: E_unl[l(-g)], E_pos[l(-g)], then of unlabelled and positives each the mean of sigma(g) x, the mean of x of positives, and
+    of both the mean of sigma (1 - sigma) x x'.
+    """
+    r_u, r_p, g_u, g_p, x_p, h_u, h_p = sums
+    bracket, across = r_u - prior * r_p, g_u - prior * g_p
+    without = prior * (g_p - x_p) + ridge @ w  # the gradient of the risk without the bracket
+    curve = ridge + 1e-9 * np.eye(len(w))
+    whole = np.linalg.solve(h_u + curve, -(without + across))
+    if free and bracket + across @ whole >= 0:
+        return whole, True
+    # on the bracket's border: the curvature is weighed by the multiplier, which the same equations give
+    weight = 0.5
+    for _ in range(3):
+        both = np.block([[weight * h_u + (1 - weight) * prior * h_p + curve, across[:, None]], [across[None, :], np.zeros((1, 1))]])
+        solved = np.linalg.solve(both, -np.r_[without, bracket])
+        weight = float(np.clip(solved[-1], 0.0, 1.0))
+    if solved[-1] > 1:
+        return whole, True
+    return (solved[:-1], False) if solved[-1] >= 0 else (np.linalg.solve(prior * h_p + curve, -without), False)
 
 
 def fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float] | None:
@@ -194,30 +224,28 @@ def fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float] | N
         g_u, g_p, x_p, h_u, h_p = v[cut[0] : cut[1]], v[cut[1] : cut[2]], v[cut[2] : cut[3]], v[cut[3] : cut[4]], v[cut[4] :]
         return v[2] / v[0], v[3] / v[1], g_u / v[0], g_p / v[1], x_p / v[1], h_u.reshape(d, d) / v[0], h_p.reshape(d, d) / v[1]
 
-    def newton(w, gradient, curve):
-        step = np.linalg.solve(curve + ridge + 1e-9 * np.eye(d), gradient + ridge @ w)
-        return w - step * min(1.0, 3.0 / max(1e-12, float(np.abs(step).max()))), float(np.abs(step).max())
+    def moved_by(move: np.ndarray) -> np.ndarray:
+        return move * min(1.0, 3.0 / max(1e-12, float(np.abs(move).max())))
 
     # positives against unlabelled text, alike in weight: gives the order of texts that the prior is read from
     w = np.zeros(d)
     for _ in range(STEPS):
         _, _, g_u, g_p, x_p, h_u, h_p = taken(w, halves)
-        w, moved = newton(w, 0.5 * g_u + 0.5 * (g_p - x_p), 0.5 * (h_u + h_p))
-        if moved < 1e-2:
+        move = np.linalg.solve(0.5 * (h_u + h_p) + ridge + 1e-9 * np.eye(d), -(0.5 * (g_u + g_p - x_p) + ridge @ w))
+        w = w + moved_by(move)
+        if np.abs(move).max() < TOLERANCE:
             break
     counted = _add_up(rows, partial(_bins, mean=mean, scale=scale, w=w))
     prior = estimated_prior(counted[:BINS], counted[BINS:])
     # the non-negative risk, from the log odds of the prior on
-    w = np.r_[np.log(prior / (1 - prior)), np.zeros(N)]
+    w, free = np.r_[np.log(prior / (1 - prior)), np.zeros(N)], True
     for _ in range(STEPS):
-        r_u, r_p, g_u, g_p, x_p, h_u, h_p = taken(w, False)
-        if r_u - prior * r_p >= 0:
-            w, moved = newton(w, g_u - prior * x_p, h_u)
-        else:
-            ascent = g_u - prior * g_p
-            w, moved = w + 0.5 * ascent / max(1e-12, float(np.abs(ascent).max())), 1.0
-        if moved < 1e-2:
+        move, free = step(w, free, prior, ridge, taken(w, False))
+        w = w + moved_by(move)
+        if np.abs(move).max() < TOLERANCE:
             break
+    else:
+        warnings.warn(f"the weights still move by {np.abs(move).max():.3f} after {STEPS} steps", stacklevel=2)
     return mean, scale, w, prior
 
 
