@@ -71,6 +71,26 @@ def test_large_groups_are_searched_by_blocks(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_large_groups_are_thinned_by_signatures(spark, monkeypatch):
+    """Texts in which each shares a third with the next, and near copies of some: one chain of candidates, many classes."""
+    monkeypatch.setattr(minhash_dedup, "GROUP_BYTES", 2_000)
+    monkeypatch.setattr(minhash_dedup, "SIGNATURES", 20)
+    rng = random.Random(11)
+    parts = [[f"p{k}_{i}" for i in range(60)] for k in range(81)]
+    rows = [(k, " ".join(parts[k] + parts[k + 1])) for k in range(80)]
+    rows += [(100 + k, " ".join(w for i, w in enumerate(parts[k] + parts[k + 1]) if i != 50 + k % 20)) for k in range(0, 80, 3)] + corpus(6)[:100]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    rng.shuffle(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, 4)
+
+
+def test_thresholds_that_the_signatures_are_not_made_for(spark):
+    with pytest.raises(ValueError, match="would miss"):
+        near_duplicates(spark.createDataFrame([], "doc_id long, text string"), percent=50)
+    assert minhash_dedup.missed(0.8) < 1e-7 and minhash_dedup.missed(0.7) < minhash_dedup.MISS
+
+
 def test_the_contract_query(spark):
     from tidelog.llm.registry import QUERIES
 

@@ -6,10 +6,14 @@
    about s, so their signatures differ in about (1 - s) * HASHES positions. The signature is split into CHUNKS chunks.
    By the pigeonhole principle two signatures that differ in at most CHUNKS * (ERRORS + 1) - 1 positions have a chunk
    with at most ERRORS = 1 differences; enumerating the position that may differ (the chunk with that position masked)
-   gives keys of which such a pair shares at least one. At 0.8 the chance that no chunk is within one error is 4e-8.
+   gives keys of which such a pair shares at least one. At 0.8 the chance that no chunk is within one error is 4e-8; a
+   threshold at which it is above MISS (below 0.65) is refused, as these signatures aren't made for it.
 3. Rows that share a key are chained to the smallest id of the key: first among the rows of one slice of the input, so
    that a key held by a third of all rows leaves one row a slice, then over all slices. Connected components of these
    candidate links make candidate groups: each true pair under the signature distance lies inside one group.
+   Where a group is above GROUP_BYTES of text, the signatures of its members are compared first, and only those that differ in
+   at most LOOSE positions stay grouped (a pair at 0.8 differs in more with a chance below 1e-10): keys shared by unlike texts
+   may chain many of them, and no text is read for those.
 4. In each group the full sets are compared. A breadth-first search takes a document and tests all that aren't linked
    yet against it (sizes first, then intersection counts), so links are decided on full sets, and none that connects two
    components is lost; near copies cost a few sweeps, not all pairs. A group above GROUP_BYTES of text is dealt into
@@ -34,10 +38,14 @@ from tidelog.llm.cluster import cut
 from tidelog.llm.graph import components
 from tidelog.llm.keyed_links import SCHEMA, links, slice_rows
 from tidelog.llm.text_arrays import U, fold, mix, shingles, slices
+from tidelog.llm.vector_dedup import joined
 
 HASHES, BITS, CHUNKS = 96, 8, 16
 ROWS = HASHES // CHUNKS
+LOOSE = HASHES // 2
+MISS = 0.01
 GROUP_BYTES = 24 << 20
+SIGNATURES = 4096
 BROADCAST_GROUPS = 100_000
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=U)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = mix(np.arange(1001, HASHES + 1001, dtype=U)).astype(np.uint32)
@@ -154,6 +162,62 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def missed(similarity: float) -> float:
+    """The chance that two sets of this similarity have no chunk within one error."""
+    one = similarity**ROWS + ROWS * similarity ** (ROWS - 1) * (1 - similarity)
+    return (1 - one) ** CHUNKS
+
+
+def _compare_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (component, x, y): a star for each group that signatures within LOOSE link in a pair of blocks."""
+
+    def linked(ids: list, signatures_: list) -> pa.RecordBatch:
+        own, marks = np.array(ids, np.int64), np.frombuffer(b"".join(signatures_), np.uint8).reshape(-1, HASHES)
+        ends = []
+        for low in range(0, len(marks), 64):
+            i, j = np.nonzero((marks[low : low + 64, None, :] != marks[None, :, :]).sum(2, dtype=np.uint8) <= LOOSE)
+            ends.append(np.stack([i + low, j])[:, i + low < j])
+        label = joined(len(own), *np.concatenate(ends, 1))
+        far = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(own[label[far]]), pa.array(own[far])], ["a", "b"])
+
+    now, ids, held = None, [], []
+    for batch in batches:
+        for key, i, signature in zip(zip(*(batch.column(c).to_pylist() for c in ("component", "x", "y")), strict=True), batch.column("id").to_pylist(), batch.column("signature").to_pylist(), strict=True):
+            if key != now:
+                if len(ids) > 1:
+                    yield linked(ids, held)
+                now, ids, held = key, [], []
+            ids.append(i)
+            held.append(signature)
+    if len(ids) > 1:
+        yield linked(ids, held)
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """members (component, id, blocks, ...) with x, y: each in every pair of blocks that holds its own; null blocks are one."""
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    members = members.withColumn("block", F.when(F.col("blocks").isNotNull(), own))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
+    one = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
+    return members.withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), one).otherwise(others))).withColumns({"x": F.col("pair.x"), "y": F.col("pair.y")})
+
+
+def _grouped(groups: DataFrame, full: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(groups, (component, blocks) of those above GROUP_BYTES, their number); signatures have thinned out the large ones."""
+    weights = lambda g: g.join(full.select("id", "n_shingles"), "id").groupBy("component").agg((F.sum("n_shingles") * 8).alias("bytes"), F.count("*").alias("m")).where(F.col("bytes") > GROUP_BYTES)
+    weak = cut(weights(groups).select("component", F.ceil(F.col("m") / SIGNATURES).cast("int").alias("blocks")))
+    n = weak.count()
+    if not n:
+        return groups, weak, 0
+    weak = F.broadcast(weak) if n <= BROADCAST_GROUPS else weak
+    dealt = _in_blocks(groups.join(weak, "component").join(reps.select(F.col("rep").alias("id"), "signature"), "id")).select("component", "x", "y", "id", "signature")
+    near = dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(_compare_signatures, "a long, b long")
+    groups = cut(groups.join(weak, "component", "left_anti").select("id", "component").unionByName(components(near)))
+    large = cut(weights(groups).select("component", F.ceil(F.col("bytes") * 2 / GROUP_BYTES).cast("int").alias("blocks")))
+    return groups, large, large.count()
+
+
 def candidates(reps: DataFrame) -> DataFrame:
     """Candidate links (a, b) of sets; reps: (id, signature)."""
     return links(reps.mapInArrow(_emit_keys, SCHEMA))
@@ -161,22 +225,18 @@ def candidates(reps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of docs."""
+    if missed(percent / 100) > MISS:
+        raise ValueError(f"at {percent} percent these signatures would miss {missed(percent / 100):.3f} of the pairs")
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
     sets = cut(rows.mapInArrow(_sets(width), "id long, n_shingles long, set_a long, set_b long, signature binary"))
     full = sets.where("n_shingles > 0 and id is not null")
     reps = cut(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"), F.first("signature").alias("signature")))
     groups = cut(components(candidates(reps.select(F.col("rep").alias("id"), "signature"))))
-    # each group with the bytes of its texts; above the limit it is dealt into blocks and searched by pairs of blocks
-    members = rows.join(groups, "id").withColumn("n", F.octet_length("text"))
-    weights = groups.join(full.select("id", "n_shingles"), "id").groupBy("component").agg((F.sum("n_shingles") * 8).alias("bytes"))
-    large = weights.where(F.col("bytes") > GROUP_BYTES).select("component", F.ceil(F.col("bytes") * 2 / GROUP_BYTES).cast("int").alias("blocks"))
-    # few groups are that large: their list is broadcast up to BROADCAST_GROUPS, so that texts aren't shuffled to meet it
-    large = cut(large)
-    dealt = members.join(F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large, "component", "left")
-    dealt = dealt.withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
-    dealt = dealt.withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(others)))
-    dealt = dealt.select("component", F.col("pair.x").alias("x"), F.col("pair.y").alias("y"), "id", "text")
+    # a group above the limit is dealt into blocks and searched by pairs of blocks; few are that large, and their list is
+    # broadcast up to BROADCAST_GROUPS, so that texts aren't shuffled to meet it
+    groups, large, n_large = _grouped(groups, full, reps)
+    members = rows.join(groups, "id")
+    dealt = _in_blocks(members.join(F.broadcast(large) if n_large <= BROADCAST_GROUPS else large, "component", "left")).select("component", "x", "y", "id", "text")
     confirmed = dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(_confirm(width, percent), "a long, b long")
     # versions of one id are one node, also where a version's set has another representative
     versions = full.join(reps.select("set_a", "set_b", "n_shingles", "rep"), ["set_a", "set_b", "n_shingles"]).select("id", "rep")
