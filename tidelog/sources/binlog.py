@@ -1,18 +1,25 @@
 """Reading replication logs into DataFrames.
 
 ``read_logs`` takes files from any store that Spark reads; ``decode_logs`` takes a column of log bytes; both decode on
-executors, a file (or value) at a time, in order. ``BinlogSource`` is the same as a Python data source, ``spark.read`` and
-``spark.readStream`` with the format "tidelog", for folders that the executors mount.
+executors, a file (or value) at a time, in order; ``decode_pieces`` takes logs in pieces that are cut anywhere.
+``BinlogSource`` is the same as a Python data source, ``spark.read`` and ``spark.readStream`` with the format "tidelog", for
+folders that the executors mount; it cuts long files into ranges of splitBytes, which are mapped and read on their own.
+
+A log is told by its path below what is read, with / between folders, so that files of one name in two folders are two logs.
+A log whose framing breaks ends with a row CORRUPT of type -1, whose error says where and why (strict: it fails).
 
 Options of the source: path (a file, a folder or a pattern), mode (PERMISSIVE: problems in the error column, FAILFAST),
-startingPosition (earliest, latest, file:position), decodeRows (false: row events as raw bytes), types (event codes,
-comma-separated). Filters on event_type and file are pushed into the reader.
+startingPosition (earliest, latest, file:position), endingPosition (latest, file:position), decodeRows (false: row events as
+raw bytes), types (event codes, comma-separated), splitBytes (a batch read's range of a file). Filters on event_type and file are
+pushed into the reader.
 """
 
 from __future__ import annotations
 
 import glob
+import mmap
 import os
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -24,13 +31,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidelog.sources import wire
+from tidelog.sources.decoders import Decoders
 from tidelog.sources.wire import DELETES, EVENT_SCHEMA, UPDATES, WRITES
 
 BATCH_EVENTS = 2000
+SPLIT_BYTES = 128 << 20
 
 
 def _columns(found: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([e[f.name] * 1_000_000 if f.name == "when" else e[f.name] for e in found], f.type) for f in schema], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array([e[f.name] and e[f.name] * 1_000_000 if f.name == "when" else e[f.name] for e in found], f.type) for f in schema], schema=schema)
 
 
 def batches(found: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -44,35 +53,85 @@ def batches(found: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch
         yield _columns(held, schema)
 
 
-def _decode(parts: Iterator[pa.RecordBatch], schema: pa.Schema, types: set[int] | None, decode_rows: bool, strict: bool) -> Iterator[pa.RecordBatch]:
+def _state(decoders: Decoders | None) -> wire.State:
+    return wire.State(cells=decoders.chosen("cells"), events=decoders.chosen("events")) if decoders else wire.State()
+
+
+def _decode(parts: Iterator[pa.RecordBatch], schema: pa.Schema, types: set[int] | None, decode_rows: bool, strict: bool, decoders: Decoders | None) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for name, data in zip(part.column("file").to_pylist(), part.column("data").to_pylist(), strict=True):
             if data is not None:
-                try:
-                    yield from batches(wire.events(data, name, types=types, decode_rows=decode_rows, strict=strict), schema)
-                except ValueError:
-                    if strict:
-                        raise
+                yield from batches(wire.events(data, name, types=types, decode_rows=decode_rows, state=_state(decoders), strict=strict), schema)
 
 
-def decode_logs(logs: DataFrame, data: str, file: str | Column | None = None, types: set[int] | None = None, decode_rows: bool = True, strict: bool = False) -> DataFrame:
-    """Events of a column of log bytes. A null is no log; a log whose framing breaks ends there (strict: fails)."""
+def decode_logs(
+    logs: DataFrame, data: str, file: str | Column | None = None, types: set[int] | None = None, decode_rows: bool = True, strict: bool = False, decoders: Decoders | None = None,
+) -> DataFrame:
+    """Events of a column of log bytes. A null is no log."""
     name = F.lit(None).cast("string") if file is None else F.col(file) if isinstance(file, str) else file
     kind = StructType.fromDDL(EVENT_SCHEMA)
-    arrow = to_arrow_schema(kind)
-    return logs.select(name.alias("file"), F.col(data).cast("binary").alias("data")).mapInArrow(partial(_decode, schema=arrow, types=types, decode_rows=decode_rows, strict=strict), kind)
+    run = partial(_decode, schema=to_arrow_schema(kind), types=types, decode_rows=decode_rows, strict=strict, decoders=decoders)
+    return logs.select(name.alias("file"), F.col(data).cast("binary").alias("data")).mapInArrow(run, kind)
+
+
+def _pieces(batches_: Iterator[pa.RecordBatch], schema: pa.Schema, types: set[int] | None, decode_rows: bool) -> Iterator[pa.RecordBatch]:
+    """Of pieces sorted by (file, nr): the events of each file. What a piece ends with is kept for the next one."""
+    now, held, base, state, seen = None, b"", 0, wire.State(), False
+
+    def complete(data: bytes) -> tuple[list[dict], bytes, int]:
+        nonlocal seen
+        begin = 4 if not seen and data[:4] == wire.MAGIC else 0
+        seen, out, end = True, [], begin
+        try:
+            for place, size, code in wire.frames(data, begin):
+                end = place + size
+                wanted = types is None or code in types
+                found = wire.event(data, place, size, state, now, decode_rows and wanted, wanted or code in wire.STATEFUL or code in (*WRITES, *UPDATES, *DELETES))
+                found.pop("inner", None)
+                if wanted:
+                    out.append(found | {"pos": base + place})
+        except ValueError as problem:
+            return [*out, wire.corrupt(data, end, now, str(problem)) | {"pos": base + end}], b"", base + len(data)
+        return out, data[end:], base + end
+
+    for batch in batches_:
+        for file, piece in zip(batch.column("file").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if file != now:
+                now, held, base, state, seen = file, b"", 0, wire.State(), False
+            held += piece or b""
+            if not seen and len(held) < 4:
+                continue
+            found, held, base = complete(held)
+            yield from batches(iter(found), schema)
+
+
+def decode_pieces(pieces: DataFrame, file: str, order: str, data: str, types: set[int] | None = None, decode_rows: bool = True) -> DataFrame:
+    """Events of logs that come in pieces, cut anywhere: an event that a piece begins ends in a later one, and table maps hold on."""
+    kind = StructType.fromDDL(EVENT_SCHEMA)
+    rows = pieces.select(F.col(file).alias("file"), F.col(order).alias("nr"), F.col(data).cast("binary").alias("data")).repartition("file").sortWithinPartitions("file", "nr")
+    return rows.mapInArrow(partial(_pieces, schema=to_arrow_schema(kind), types=types, decode_rows=decode_rows), kind)
+
+
+def _below(path: str) -> Column:
+    """The path column's part below what is read; a single file's own name."""
+    root = re.split(r"[*?\[{]", path, maxsplit=1)[0]
+    root = root.rstrip("/") if root == path else root.rpartition("/")[0]
+    root = re.sub(r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "", root, flags=re.I) or "/"
+    at = F.locate(root.rstrip("/") + "/", F.col("path"))
+    rest = F.substring(F.col("path"), at + len(root.rstrip("/")) + 1, 1 << 30)
+    return F.when((at > 0) & (rest != ""), rest).otherwise(F.element_at(F.split("path", "/"), -1))
 
 
 def read_logs(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Events of every file under a path (a file, folder or pattern of any store)."""
+    """Events of every file under a path (a file, folder or pattern of any store). A file is held whole by its task."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return decode_logs(files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").alias("data")), "data", "file", **options)
+    return decode_logs(files.select(_below(path).alias("file"), F.col("content").alias("data")), "data", "file", **options)
 
 
 def stream_logs(spark: SparkSession, path: str, files_per_trigger: int = 100, **options) -> DataFrame:
     """Events of finished log files as they appear in a folder of any store, so many files a batch."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_trigger).load(path)
-    return decode_logs(files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").alias("data")), "data", "file", **options)
+    return decode_logs(files.select(_below(path).alias("file"), F.col("content").alias("data")), "data", "file", **options)
 
 
 def changes(events: DataFrame) -> DataFrame:
@@ -102,6 +161,23 @@ def from_position(events: DataFrame, position: str) -> DataFrame:
     return events.where((F.col("file") > file) | ((F.col("file") == file) & (F.col("pos") >= int(pos))))
 
 
+def end_positions(events: DataFrame) -> DataFrame:
+    """(file, end): where each log's complete events end."""
+    return events.groupBy("file").agg(F.max(F.col("pos") + F.col("event_length")).alias("end"))
+
+
+def end_position(events: DataFrame) -> str | None:
+    """``file:position`` after the last event of the last log: where reading from the end begins."""
+    last = events.agg(F.max(F.struct("file", F.col("pos") + F.col("event_length"))).alias("last")).first().last
+    return None if last is None else f"{last[0]}:{last[1]}"
+
+
+def until_position(events: DataFrame, position: str) -> DataFrame:
+    """Events that begin before an end, file:position."""
+    file, _, pos = position.rpartition(":")
+    return events.where((F.col("file") < file) | ((F.col("file") == file) & (F.col("pos") < int(pos))))
+
+
 def from_gtid(events: DataFrame, executed: DataFrame) -> DataFrame:
     """Events whose transaction isn't in a set (source, start, end); events without a transaction stay."""
     from tidelog.operators.gtid import contains
@@ -111,14 +187,18 @@ def from_gtid(events: DataFrame, executed: DataFrame) -> DataFrame:
 
 
 class _File(InputPartition):
-    def __init__(self, path: str, start: int = 0, end: int | None = None):
-        super().__init__((path, start, end))
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, name: str, start: int = 0, end: int | None = None):
+        super().__init__((path, name, start, end))
+        self.path, self.name, self.start, self.end = path, name, start, end
 
 
-def log_files(path: str) -> list[str]:
+def log_files(path: str) -> dict[str, str]:
+    """Path of each log by its name, in the order of names."""
     found = glob.glob(os.path.join(path, "**"), recursive=True) if os.path.isdir(path) else glob.glob(path)
-    return sorted(p for p in found if os.path.isfile(p) and not os.path.basename(p).startswith((".", "_")))
+    fixed = re.split(r"[*?\[{]", path, maxsplit=1)[0]
+    root = path if os.path.isdir(path) else os.path.dirname(fixed)
+    logs = {os.path.relpath(p, root or ".").replace(os.sep, "/"): p for p in found if os.path.isfile(p) and not os.path.basename(p).startswith((".", "_"))}
+    return dict(sorted(logs.items()))
 
 
 class _Options:
@@ -130,16 +210,14 @@ class _Options:
         self.path, self.strict = options["path"], options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
         self.decode_rows = options.get("decoderows", "true").lower() != "false"
         self.types = {int(x) for x in options["types"].split(",")} if options.get("types") else None
-        self.start = options.get("startingposition", "earliest")
+        self.start, self.stop = options.get("startingposition", "earliest"), options.get("endingposition", "latest")
+        self.split = int(options.get("splitbytes", SPLIT_BYTES))
 
     def read(self, part: _File, types: set[int] | None) -> Iterator[pa.RecordBatch]:
-        with open(part.path, "rb") as file:
-            data = file.read() if part.end is None else file.read(part.end)
-        try:
-            yield from batches(wire.events(data, os.path.basename(part.path), part.start, types, self.decode_rows, strict=self.strict), self.arrow)
-        except ValueError:
-            if self.strict:
-                raise
+        if not os.path.getsize(part.path):
+            return
+        with open(part.path, "rb") as file, mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            yield from batches(wire.events(data, part.name, part.start, types, self.decode_rows, strict=self.strict, end=part.end), self.arrow)
 
 
 class BinlogSource(DataSource):
@@ -173,13 +251,19 @@ class BinlogReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
+        """Ranges of files; nothing of them is read here. A range takes the events that begin in it."""
         file, _, position = self.options.start.rpartition(":")
+        last, _, stop = self.options.stop.rpartition(":")
         parts = []
-        for path in log_files(self.options.path):
-            name = os.path.basename(path)
-            if (self.files is None or name in self.files) and name >= file:
-                parts.append(_File(path, int(position) if file and name == file else 0))
-        return parts or [_File("")]
+        if self.options.start == "latest":
+            return [_File("", "")]
+        for name, path in log_files(self.options.path).items():
+            if (self.files is None or name in self.files) and name >= file and (not last or name <= last):
+                low, size = int(position) if file and name == file else 0, os.path.getsize(path)
+                end = min(size, int(stop)) if last and name == last else size
+                cuts = [low, *range(low - low % self.options.split + self.options.split, end, self.options.split), end]
+                parts += [_File(path, name, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+        return parts or [_File("", "")]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         if partition.path:
@@ -197,11 +281,11 @@ class BinlogStream(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         start = self.options.start
         if start == "latest":
-            return {os.path.basename(p): self._end(p, 0) for p in log_files(self.options.path)}
+            return {name: self._end(p, 0) for name, p in log_files(self.options.path).items()}
         file, _, position = start.rpartition(":")
         if not file:
             return {}
-        return {name: (int(position) if name == file else os.path.getsize(p)) for p in log_files(self.options.path) if (name := os.path.basename(p)) <= file}
+        return {name: (int(position) if name == file else os.path.getsize(p)) for name, p in log_files(self.options.path).items() if name <= file}
 
     def _end(self, path: str, start: int) -> int:
         """The end of complete events from a place on, by their headers alone."""
@@ -219,12 +303,12 @@ class BinlogStream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         """All that is complete. (A reader isn't told where its query stands, so it can't hand out less and stay in order;
         stream_logs limits a batch by its number of files.)"""
-        self.ends = {os.path.basename(p): self._end(p, self.ends.get(os.path.basename(p), 0)) for p in log_files(self.options.path)}
+        self.ends = {name: self._end(p, self.ends.get(name, 0)) for name, p in log_files(self.options.path).items()}
         return self.ends
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        paths = {os.path.basename(p): p for p in log_files(self.options.path)}
-        return [_File(paths[n], start.get(n, 0), e) for n, e in end.items() if n in paths and e > start.get(n, 0)]
+        paths = log_files(self.options.path)
+        return [_File(paths[n], n, start.get(n, 0), e) for n, e in end.items() if n in paths and e > start.get(n, 0)]
 
     def commit(self, end: dict) -> None: ...
 
@@ -236,3 +320,15 @@ def register(spark: SparkSession) -> None:
     """Makes the format known to a session, and turns on the pushing of filters into Python sources, which it needs."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BinlogSource)
+
+
+def event_function(spark: SparkSession, name: str = "binlog_events") -> None:
+    """Registers a table function: the events (code, name, position, length, gtid) of the bytes of a log."""
+
+    @F.udtf(returnType="event_type int, event_name string, pos long, event_length long, gtid string")
+    class Events:
+        def eval(self, data: bytes):
+            for e in wire.events(bytes(data or b""), decode_rows=False):
+                yield e["event_type"], e["event_name"], e["pos"], e["event_length"], e["gtid"]
+
+    spark.udtf.register(name, Events)
