@@ -134,3 +134,24 @@ def point_in_ring(ring: Column, x: Column, y: Column) -> Column:
 
 def same_point(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return (F.abs(x1 - x2) < 1e-10) & (F.abs(y1 - y2) < 1e-10)
+
+
+def _binary_json(data: pd.Series) -> pd.Series:
+    import json
+
+    from tidelog.sources.cells import json_value
+
+    def text(raw):
+        if raw is None:
+            return None
+        try:
+            return json.dumps(json_value(bytes(raw)), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, IndexError, struct.error):
+            return None
+
+    return data.map(text, na_action="ignore")
+
+
+def binary_json(data: Column) -> Column:
+    """The JSON text of a document in the log's binary form; null where it is none."""
+    return F.pandas_udf(_binary_json, "string")(data)

@@ -41,6 +41,11 @@ def host_port(address: Column) -> Column:
     return F.when(address.rlike(pattern), F.struct(F.regexp_extract(address, pattern, 1).alias("host"), F.regexp_extract(address, pattern, 2).cast("int").alias("port")))
 
 
+def is_healthy(group_status: Column, member_status: Column) -> Column:
+    """Whether a shard's route can be used."""
+    return F.coalesce((group_status == "RUNNING") & (member_status == "ACTIVE"), F.lit(False))
+
+
 # Flag bits of an event header, from bit 0.
 HEADER_FLAGS = (
     "in_use", "forced_rotate", "thread_specific", "suppress_use", "update_table_map_version", "artificial", "relay_log", "ignorable", "no_filter", "mts_isolate",

@@ -90,3 +90,27 @@ def parse_complexity(code: Column, length: Column) -> Column:
 def fast_path(code: Column, length: Column) -> Column:
     """Whether a value of a fixed-size type has exactly its size."""
     return F.coalesce(_lookup({1: 1, 2: 2, 3: 4, 8: 8, 4: 4, 5: 8, 13: 1}, code.cast("int")) == length, F.lit(False))
+
+
+# Event codes of row changes, transaction ids and queries, and the events that may have no body.
+ROW_EVENTS = (20, 21, 22, 23, 24, 25, 30, 31, 32, 39, 166, 167, 168, 169, 170)
+GTID_EVENTS = (33, 34, 162)
+QUERY_EVENT, BARE_EVENTS = 2, (3, 28)
+
+
+def is_row(code: Column) -> Column:
+    return code.isin(*ROW_EVENTS)
+
+
+def is_gtid(code: Column) -> Column:
+    return code.isin(*GTID_EVENTS)
+
+
+def is_definition(code: Column) -> Column:
+    """Any query may define something."""
+    return code == QUERY_EVENT
+
+
+def is_valid(code: Column, length: Column) -> Column:
+    """Whether an event has a known kind of code, and a length unless it may have none."""
+    return F.coalesce((code >= 0) & (code <= 255) & ((length > 0) | code.isin(*BARE_EVENTS)), F.lit(False))

@@ -43,6 +43,29 @@ def tables_of(rows: DataFrame) -> DataFrame:
     )
 
 
+def checked_tables(rows: DataFrame) -> DataFrame:
+    """Tables of catalog rows with ten fields, cross-checked with their physical name ``schema##table##id``.
+
+    rows: schema_id, table_schema, table_id (text), table_name, physical_table_name, distribute_type, distribute_columns and
+    primary_columns (comma-separated), current_version, is_materialized (0 or 1). A row that doesn't pass has its reason in
+    `error`, and keeps what could be read.
+    """
+    from tidelog.functions.names import physical_name
+
+    own, number = physical_name(F.col("physical_table_name")), F.col("table_id").try_cast("int")
+    needed = ("schema_id", "table_schema", "table_id", "table_name", "physical_table_name", "distribute_type", "distribute_columns", "primary_columns", "current_version", "is_materialized")
+    missing = F.concat_ws(",", *(F.when(F.col(c).isNull(), F.lit(c)) for c in needed))
+    error = (
+        F.when(missing != "", F.concat(F.lit("missing: "), missing)).when(number.isNull(), "table_id is no number").when(own.isNull(), "physical name has another form")
+        .when(own["table"] != F.col("table_name"), "physical name is another table's").when(own["id"] != number, "physical name has another id")
+    )
+    return rows.select(
+        F.lit("def").alias("catalog"), own["schema"].alias("schema_name"), "schema_id", "table_schema", number.alias("table_id"), "table_name", "physical_table_name", "distribute_type",
+        F.split("distribute_columns", ",").alias("distribute_columns"), F.split("primary_columns", ",").alias("primary_columns"), F.col("current_version").alias("version"),
+        (F.col("is_materialized") == 1).alias("is_materialized"), error.alias("error"),
+    )
+
+
 def precision_scale(sql_type: Column) -> Column:
     """struct(precision, scale) of a type such as ``decimal(10,2)``; scale 0 if only a precision is given."""
     pattern = r"\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)"

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators import ordered
 from tidelog.operators.ordered import with_interval
 
 SPAN = 1 << 20
@@ -96,3 +97,21 @@ def uuid_text(data: Column) -> Column:
 
 def uuid_bytes(text: Column) -> Column:
     return F.unhex(F.replace(text, F.lit("-"), F.lit("")))
+
+
+def running(log: DataFrame, source: str, number: str, order: str, span: int = ordered.SPAN) -> DataFrame:
+    """log with the transactions and the intervals of its source's executed set as it stands after each row.
+
+    Numbers rise within a source; a number that doesn't follow the one before begins an interval.
+    """
+    found = ordered.with_previous(log, [source], order, [number], "_before", span)
+    new = F.when(F.col(number) == F.col(f"_before.{number}") + 1, 0).otherwise(1).cast("long")
+    return ordered.with_running(found.withColumn("_new", new), [source], order, {"transactions": F.lit(1).cast("long"), "intervals": F.col("_new")}, span).drop("_before", "_new")
+
+
+def snapshots(log: DataFrame, source: str, order: str, every: int = 1000, keep: int = 10, span: int = ordered.SPAN) -> DataFrame:
+    """The rows at which a source's set is kept: each `every`-th transaction, the newest `keep` of them; the last one is what is restored."""
+    from tidelog.operators.relay import newest
+
+    counted = ordered.with_number(log, [source], order, "transactions", span)
+    return newest(counted.where(F.col("transactions") % every == 0), [source], [F.desc("transactions")], keep)

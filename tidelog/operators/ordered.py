@@ -120,3 +120,10 @@ def previous_rate(df: DataFrame, keys: list[str], order: str, ts: str, amount: C
     found = with_previous(df, keys, order, [ts], "_before")
     seconds = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(f"_before.{ts}").cast("timestamp"))) / 1e6
     return found.withColumn(out, F.when(seconds > 0, amount / seconds)).drop("_before")
+
+
+def with_idle(df: DataFrame, keys: list[str], order: str, ts: str, seconds: float, span: int = SPAN) -> DataFrame:
+    """df with idle_seconds since the row before, and heartbeats: how many fall due in that time, one each `seconds`."""
+    found = with_previous(df, keys, order, [ts], "_before", span)
+    idle = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(f"_before.{ts}").cast("timestamp"))) / 1e6
+    return found.withColumn("idle_seconds", idle).withColumn("heartbeats", F.coalesce(F.floor(F.col("idle_seconds") / seconds), F.lit(0))).drop("_before")

@@ -79,6 +79,11 @@ def write(entries: DataFrame, path: str) -> None:
     deal.write.mode("append").option("maxRecordsPerFile", SEGMENT_ENTRIES).partitionBy("database_name", "table_name", "segment_id").parquet(path)
 
 
+def segment_path(database: Column, table: Column, version: Column, segment: Column, first_index: Column) -> Column:
+    """``database#table/rlog-<version>-<segment>-<first index>.log``."""
+    return F.concat(database, F.lit("#"), table, F.lit("/rlog-"), F.concat_ws("-", version.cast("string"), segment.cast("string"), first_index.cast("string")), F.lit(".log"))
+
+
 def read(spark, path: str) -> DataFrame:
     """Entries of a storage folder, checked."""
     return verify(spark.read.parquet(path))

@@ -103,6 +103,52 @@ def errors(log: DataFrame, message: str, by: list[str], recovered: Column) -> Da
     return log.withColumn("category", error_category(F.col(message))).groupBy("category", *by).agg(F.count("*").alias("errors"), F.count_if(recovered).alias("recovered"), F.count_if(~recovered).alias("fatal"))
 
 
+def recoveries(log: DataFrame, recovered: Column, nanos: Column, skipped: Column, by: list[str]) -> DataFrame:
+    """Recoveries that worked and that didn't, the mean time of those that did, and the rows that were passed over."""
+    return log.groupBy(*by).agg(
+        F.count_if(recovered).alias("successful_recoveries"), F.count_if(~recovered).alias("failed_recoveries"),
+        F.coalesce(F.avg(F.when(recovered, nanos)), F.lit(0.0)).alias("avg_recovery_time"), F.coalesce(F.sum(F.when(recovered, skipped)), F.lit(0)).cast("long").alias("rows_skipped"),
+    )
+
+
+def pools(log: DataFrame, by: list[str], size: Column, nanos: Column, hit: Column) -> DataFrame:
+    """Rows, bytes, mean parse time, rows a second of parse time, hits, misses and hit ratio of row buffers."""
+    out = log.groupBy(*by).agg(
+        F.count("*").alias("rows"), F.sum(size).cast("long").alias("bytes"), F.sum(nanos).alias("time"), F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"),
+    )
+    return out.withColumns({
+        "avg_parse_time": F.col("time") / F.col("rows"), "rows_per_second": F.when(F.col("time") > 0, F.col("rows") * 1e9 / F.col("time")).otherwise(0.0), "hit_ratio": F.col("hits") / F.col("rows"),
+    })
+
+
+def locks(log: DataFrame, by: list[str], reads: Column, waited: Column, ts: str = "ts") -> DataFrame:
+    """Reads, writes, contended accesses, mean wait, read/write ratio (null without writes) and accesses a second."""
+    out = log.groupBy(*by).agg(
+        F.count_if(reads).alias("reads"), F.count_if(~reads).alias("writes"), F.count_if(waited > 0).alias("contended"), F.avg(waited).alias("avg_wait"), F.min(ts).alias("_a"), F.max(ts).alias("_z"),
+    )
+    span = seconds_between(F.col("_a"), F.col("_z"))
+    return out.withColumns({
+        "read_write_ratio": F.when(F.col("writes") > 0, F.col("reads") / F.col("writes")), "ops_per_second": F.when(span > 0, (F.col("reads") + F.col("writes")) / span).otherwise(0.0),
+    }).drop("_a", "_z")
+
+
+def interning(rows: DataFrame, text: str, least: int = 3) -> DataFrame:
+    """One row: strings, those long enough to share, different ones among them, and the bytes that sharing saves."""
+    counted = rows.where(F.col(text).isNotNull()).groupBy(text).agg(F.count("*").alias("n"))
+    shared, size = F.length(text) >= least, F.octet_length(text)
+    return counted.agg(
+        F.sum("n").cast("long").alias("strings"), F.coalesce(F.sum(F.when(shared, F.col("n"))), F.lit(0)).cast("long").alias("interned"), F.count_if(shared).alias("pool_size"),
+        F.coalesce(F.sum(F.when(shared, (F.col("n") - 1) * size)), F.lit(0)).cast("long").alias("bytes_saved"),
+    )
+
+
+def registrations(entries: DataFrame) -> DataFrame:
+    """One row: decoders, types that have one, those with several, and decoders of one's own. entries: (type, name, is_custom)."""
+    return entries.groupBy("type").agg(F.count("*").alias("n"), F.count_if("is_custom").alias("c")).agg(
+        F.sum("n").cast("long").alias("decoders"), F.count("*").alias("types"), F.count_if(F.col("n") > 1).alias("conflicts"), F.sum("c").cast("long").alias("custom"),
+    )
+
+
 def derived(one: DataFrame) -> DataFrame:
     """Ratios of a row of totals (rows, seconds, time, hits, misses, errors, recovered): 0 where there is nothing to divide by."""
     ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
