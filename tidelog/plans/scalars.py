@@ -147,7 +147,11 @@ def point_in_polygon(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", documents.point_in_ring(square, F.col("p_size") + F.lit(0.5), F.col("p_partkey") % 40 + F.lit(0.25)).alias("inside"))
 
 
-@query()
+@query("""
+WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), s AS (SELECT doc_id, unnest(range(length(h) // 2)) AS i, unnest(list_transform(range(length(h) // 2), lambda k: substr(h, 2 * k + 1, 2))) AS c FROM b),
+r AS (SELECT doc_id, i, CASE WHEN c = lag(c) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM s), g AS (SELECT doc_id, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+n AS (SELECT doc_id, sum(pieces) AS pieces FROM (SELECT doc_id, (count(*) + 254) // 255 AS pieces FROM g GROUP BY doc_id, run) GROUP BY 1)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(2 * pieces, 0)::BIGINT END AS packed_bytes, CASE WHEN text IS NOT NULL THEN true END AS restored FROM documents LEFT JOIN n USING (doc_id)""")
 def rle_roundtrip(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data")).withColumn("packed", strings.run_length_encode("data"))
     return rows.select("doc_id", F.octet_length("packed").cast("long").alias("packed_bytes"), (strings.run_length_decode("packed") == F.col("data")).alias("restored"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators import catalog
 from tidelog.plans.registry import query, read
+from tidelog.sources import scratch
 from tidelog.sources.binlog import changes, decode_logs, table_maps, typed
 
 CHUNK = 500
@@ -34,7 +36,21 @@ def _write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"file": [f"log.{int(key[0]):06d}"], "data": [log.bytes()]})
 
 
-def _logs(spark, sf_dir):
+@lru_cache(maxsize=8)
+def _written(application: str, sf_dir: str) -> str:
+    """Where a table's logs are; they are written once in a session."""
+    spark = SparkSession.active()
+    folder = scratch.folder(spark, "events-as-logs")
+    _made(spark, sf_dir).write.parquet(folder)
+    return folder
+
+
+def logs(spark, sf_dir):
+    """(file, data): the events of a table as replication logs."""
+    return spark.read.schema("file string, data binary").parquet(_written(spark.sparkContext.applicationId, sf_dir))
+
+
+def _made(spark, sf_dir):
     events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("value").cast("decimal(18,4)").cast("string").alias("value"), "props", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
     return events.groupBy(F.floor(F.col("event_id") / CHUNK).alias("chunk")).applyInPandas(_write, "file string, data binary")
 
@@ -47,7 +63,7 @@ _OP = "CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' EL
 def binlog_decode(spark, sf_dir):
     from tidelog.operators.changes import diff
 
-    feed = changes(decode_logs(_logs(spark, sf_dir), "data", "file"))
+    feed = changes(decode_logs(logs(spark, sf_dir), "data", "file"))
     image = F.coalesce("after", "before")
     changed = F.when(F.col("op") == "UPDATE", F.size(diff(F.col("before"), F.col("after")))).otherwise(0)
     rows = feed.withColumn("image", image).withColumn("changed", changed)
@@ -60,14 +76,14 @@ WITH n AS (SELECT count(*) AS n, count(DISTINCT event_id // {CHUNK}) AS files FR
 SELECT name AS event_name, CASE name WHEN 'FORMAT_DESCRIPTION' THEN files ELSE n END AS events, true AS sums_ok FROM n, (VALUES ('FORMAT_DESCRIPTION'), ('GTID'), ('QUERY'), ('TABLE_MAP'), ('XID')) t(name)
 UNION ALL SELECT CASE event_type WHEN 'signup' THEN 'WRITE_ROWS' WHEN 'error' THEN 'DELETE_ROWS' ELSE 'UPDATE_ROWS' END, count(*), true FROM events GROUP BY 1""")
 def binlog_event_counts(spark, sf_dir):
-    found = decode_logs(_logs(spark, sf_dir), "data", "file", decode_rows=False)
+    found = decode_logs(logs(spark, sf_dir), "data", "file", decode_rows=False)
     return found.groupBy("event_name").agg(F.count("*").alias("events"), F.min("crc_ok").alias("sums_ok"))
 
 
 @query("""SELECT DISTINCT 'events' AS table_name, c.name AS column_name, c.kind AS type, c.nullable AS nullable
 FROM (VALUES ('event_id', 'LONGLONG', false), ('user_id', 'LONGLONG', false), ('event_type', 'VARCHAR', false), ('value', 'NEWDECIMAL', true), ('props', 'VARCHAR', true), ('ts', 'DATETIME2', false)) c(name, kind, nullable)""")
 def binlog_table_maps(spark, sf_dir):
-    maps = table_maps(decode_logs(_logs(spark, sf_dir), "data", "file", types={19}))
+    maps = table_maps(decode_logs(logs(spark, sf_dir), "data", "file", types={19}))
     return maps.select("table_name", F.explode("columns").alias("c")).select("table_name", F.col("c.name").alias("column_name"), "c.type", "c.nullable").distinct()
 
 
