@@ -1,14 +1,16 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells (source, language, topic). A cell's token count starts as its weight; each round rakes the
-weights to the target marginal of the source, then of the language, then of the topic. The ratio of a cell's raked
+weights to the target marginal of the source, then of the language, then of the topic. Rounds go on, ROUNDS at a time, until no
+marginal that can be met is off by more than TOLERANCE of all tokens; where targets can't all be met that never happens, and
+MOST_ROUNDS end it with a warning. The ratio of a cell's raked
 weight to its tokens says how much more often its tokens are wanted than they occur; scaled so that `budget` of all
 tokens are drawn, it is each document's probability of being drawn. Probabilities end at 1, and what a full cell can't
 give is taken from the others, in proportion (`FILLS` rounds). A document is drawn when a hash of its id lies below its
 probability: the draw is the same on every run, and needs no shuffle.
 
 Only cells are shuffled: they are counted with partial sums first, so a source that holds a third of all rows is a few rows.
-Raking sums cells by window functions. Up to BROADCAST_CELLS cells (counted) are broadcast to the documents; more are
+Raking sums the cells of a value by window functions; sums over all cells are aggregates, a number each. Up to BROADCAST_CELLS cells (counted) are broadcast to the documents; more are
 joined by shuffle, where AQE splits a hot cell. Everything is DataFrame expressions.
 
 Targets: for each dimension either a dict of value -> share, or a number a: shares in proportion to tokens ** a (1 keeps
@@ -22,12 +24,15 @@ empty result. Other columns are passed through; clashing names are replaced.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.cluster import cut
 
 ROUNDS, FILLS = 10, 5
+TOLERANCE, MOST_ROUNDS = 1e-6, 50
 BROADCAST_CELLS = 100_000
 DIMENSIONS = ("d0", "d1", "d2")
 NEW = ("n_tokens", "topic", "ratio", "probability", "drawn")
@@ -42,9 +47,9 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def _share(dimension: str, target: dict[str, float] | float) -> Column:
+def _share(dimension: str, target: dict[str, float] | float, total: float) -> Column:
     """The target share of a cell's value, before all values' shares are normalised."""
-    of, total = F.sum("n").over(Window.partitionBy(dimension)), F.sum("n").over(Window.partitionBy())
+    of = F.sum("n").over(Window.partitionBy(dimension))
     if not isinstance(target, dict):
         return F.pow(of / total, F.lit(float(target)))
     named = F.element_at(F.create_map(*(F.lit(x) for k, v in target.items() for x in (k, float(v)))), F.col(dimension)) if target else F.lit(None)
@@ -54,23 +59,34 @@ def _share(dimension: str, target: dict[str, float] | float) -> Column:
 def rake(cells: DataFrame, targets: list[dict[str, float] | float], budget: float) -> DataFrame:
     """cells (d0, d1, d2, n) with ratio and probability."""
     live = cells.where("n > 0")
+    numbers = lambda df, *sums: [float(x or 0) for x in df.agg(*sums).first()]
+    (total,) = numbers(live, F.sum("n"))
     for d, target in zip(DIMENSIONS, targets, strict=True):
-        live = live.withColumn(f"share_{d}", _share(d, target))
-    for d in DIMENSIONS:  # each value counts once: its cells' tokens weigh it
-        one = F.col(f"share_{d}") * F.col("n") / F.sum("n").over(Window.partitionBy(d))
-        live = live.withColumn(f"share_{d}", F.col(f"share_{d}") / F.sum(one).over(Window.partitionBy()))
-    live = live.withColumn("w", F.col("n") / F.sum("n").over(Window.partitionBy()))
-    for _ in range(ROUNDS):
-        for d in DIMENSIONS:
-            live = live.withColumn("w", F.col("w") * F.col(f"share_{d}") / F.sum("w").over(Window.partitionBy(d)))
-    everything = Window.partitionBy()
-    live = live.withColumn("ratio", F.col("w") * F.sum("n").over(everything) / F.sum("w").over(everything) / F.col("n"))
+        live = live.withColumn(f"share_{d}", _share(d, target, total))
+    # each value counts once: its cells' tokens weigh it
+    one = {d: F.col(f"share_{d}") * F.col("n") / F.sum("n").over(Window.partitionBy(d)) for d in DIMENSIONS}
+    sums = numbers(live.select(*(c.alias(d) for d, c in one.items())), *(F.sum(d) for d in DIMENSIONS))
+    live = live.withColumns({f"share_{d}": F.col(f"share_{d}") / (x or 1.0) for d, x in zip(DIMENSIONS, sums, strict=True)})
+    live = live.withColumn("w", F.col("n") / (total or 1.0))
+    for _ in range(0, MOST_ROUNDS, ROUNDS):
+        for _ in range(ROUNDS):
+            for d in DIMENSIONS:
+                live = live.withColumn("w", F.col("w") * F.col(f"share_{d}") / F.sum("w").over(Window.partitionBy(d)))
+        live = cut(live)
+        # the last dimension is met exactly; the others show how far the rounds have come
+        marginals = live.select(*(F.abs(F.sum("w").over(Window.partitionBy(d)) - F.col(f"share_{d}")).alias(d) for d in DIMENSIONS[:-1]))
+        if max(numbers(marginals, *(F.max(d) for d in DIMENSIONS[:-1]))) <= TOLERANCE:
+            break
+    else:
+        warnings.warn(f"the targets aren't met after {MOST_ROUNDS} rounds", stacklevel=2)
+    (weight,) = numbers(live, F.sum("w"))
+    live = live.withColumn("ratio", F.col("w") * total / (weight or 1.0) / F.col("n"))
     live = live.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") * budget))
     for _ in range(FILLS):
         full = F.col("probability") >= 1
-        spare = budget * F.sum("n").over(everything) - F.sum(F.when(full, F.col("n")).otherwise(0)).over(everything)
-        open_ = F.sum(F.when(full, 0.0).otherwise(F.col("ratio") * F.col("n"))).over(everything)
-        live = live.withColumn("probability", F.when(full | (open_ <= 0), F.col("probability")).otherwise(F.least(F.lit(1.0), F.col("ratio") * spare / open_)))
+        taken, open_ = numbers(live, F.sum(F.when(full, F.col("n")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("ratio") * F.col("n"))))
+        if open_ > 0:
+            live = live.withColumn("probability", F.when(full, F.col("probability")).otherwise(F.least(F.lit(1.0), F.col("ratio") * ((budget * total - taken) / open_))))
     return live.select(*DIMENSIONS, "ratio", "probability")
 
 

@@ -6,6 +6,10 @@ found without splitting row by row: one pass sums bytes in cells of ``depth`` le
 shuffle), the cells, a small table, are rolled up to all shorter prefixes, and only cells that are still too large are
 taken one more round, on the next bits of their own rows.
 
+A row finds its shard in place: the directory, at most DIRECTORY_ROWS shards (counted), is broadcast a depth at a time and
+looked up by the row's prefix of that length; of all depths one has it. Nothing of a row is shuffled. A larger directory joins
+the rows' hashes by shuffle, and the rows with them.
+
 Defined results: null keys and texts hash as their own values; an empty text counts 0 bytes. Rows equal in key and text
 have one hash and can't be told apart: they stay together, and like a single row above the limit they end in a shard of
 MAX_BITS bits marked ``oversized``. An empty table gives no shards. Other columns pass through.
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.cluster import cut
 
 MAX_BITS = 48
+DIRECTORY_ROWS = 500_000
 STEP = 16
 
 
@@ -69,12 +74,16 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
         hash48(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"), F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n_bytes"),
     )
     found = directory(rows, limit).select("prefix", F.col("depth").alias("at"), "shard_bytes", "shard_rows")
-    # the directory by the depths it uses: a row looks its own prefix up at each of them, and finds one shard
-    depths = [r.at for r in found.select("at").distinct().collect()]  # at most MAX_BITS + 1 numbers
-    if not depths:
-        depths = [0]
-    looked = rows.withColumn("prefix", F.explode(F.array(*(_prefix(F.col("h"), F.lit(d)) for d in sorted(depths)))))
-    placed = looked.join(found, "prefix")
+    depths = sorted(r.at for r in found.select("at").distinct().collect()) or [0]  # at most MAX_BITS + 1 numbers
+    if found.count() <= DIRECTORY_ROWS:
+        placed = rows
+        for d in depths:
+            own = found.where(F.col("at") == d).select(F.col("prefix").alias(f"p{d}"), F.struct("prefix", "at", "shard_bytes", "shard_rows").alias(f"s{d}"))
+            placed = placed.join(F.broadcast(own), _prefix(F.col("h"), F.lit(d)) == F.col(f"p{d}"), "left").drop(f"p{d}")
+        placed = placed.withColumn("own", F.coalesce(*(f"s{d}" for d in depths))).drop(*(f"s{d}" for d in depths)).select("*", "own.*")
+    else:
+        looked = rows.withColumn("prefix", F.explode(F.array(*(_prefix(F.col("h"), F.lit(d)) for d in depths))))
+        placed = looked.join(found, "prefix")
     return placed.select(
         *(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)),
         F.substring(F.bin("prefix"), 2, MAX_BITS).alias("shard"), F.col("at").cast("int").alias("depth"), "n_bytes", "shard_bytes", "shard_rows",
