@@ -38,24 +38,30 @@ def worth_compressing(text: Column, min_length: int) -> Column:
     return (F.octet_length(text) >= min_length) & (repeat_ratio(text) > 0.2)
 
 
-def _encode_runs(data: pd.Series) -> pd.Series:
+def _joined(data: pd.Series):
+    """(all bytes, where each value's begin, which values are null), nulls being empty."""
     import numpy as np
 
-    def encode(raw):
-        if raw is None:
-            return None
-        x = np.frombuffer(bytes(raw), np.uint8)
-        if not len(x):
-            return b""
-        start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        size = np.diff(np.r_[start, len(x)])
-        pieces = -(-size // 255)
-        value = np.repeat(x[start], pieces)
-        count = np.full(len(value), 255)
-        count[np.cumsum(pieces) - 1] = size - (pieces - 1) * 255
-        return np.stack([count.astype(np.uint8), value], 1).tobytes()
+    raw = [b"" if x is None else bytes(x) for x in data]
+    return np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64), data.isna().to_numpy()
+
+
+def _encode_runs(data: pd.Series) -> pd.Series:
+    import numpy as np
 
-    return data.map(encode, na_action="ignore")
+    x, first, null = _joined(data)
+    if not len(x):
+        return pd.Series([None if n else b"" for n in null], dtype=object)
+    new = np.r_[True, x[1:] != x[:-1]]
+    new[first[:-1][np.diff(first) > 0]] = True
+    start = np.flatnonzero(new)
+    size = np.diff(np.r_[start, len(x)])
+    pieces = -(-size // 255)
+    count = np.full(int(pieces.sum()), 255)
+    count[np.cumsum(pieces) - 1] = size - (pieces - 1) * 255
+    out = np.stack([count.astype(np.uint8), np.repeat(x[start], pieces)], 1).tobytes()
+    ends = 2 * np.r_[0, np.cumsum(pieces)][np.searchsorted(start, first)]
+    return pd.Series([None if n else out[a:b] for n, a, b in zip(null, ends[:-1].tolist(), ends[1:].tolist(), strict=True)], dtype=object)
 
 
 def run_length_encode(data: Column) -> Column:
@@ -66,13 +72,12 @@ def run_length_encode(data: Column) -> Column:
 def _decode_runs(data: pd.Series) -> pd.Series:
     import numpy as np
 
-    def decode(raw):
-        if raw is None or len(raw) % 2:
-            return None
-        pairs = np.frombuffer(bytes(raw), np.uint8).reshape(-1, 2)
-        return np.repeat(pairs[:, 1], pairs[:, 0]).tobytes()
-
-    return data.map(decode, na_action="ignore")
+    odd = data.map(lambda x: x is not None and len(x) % 2 == 1).to_numpy(bool)
+    x, first, null = _joined(data.where(~odd, None))
+    pairs = x.reshape(-1, 2)
+    ends = np.r_[0, np.cumsum(pairs[:, 0].astype(np.int64))][first // 2]
+    out = np.repeat(pairs[:, 1], pairs[:, 0]).tobytes()
+    return pd.Series([None if n else out[a:b] for n, a, b in zip(null | odd, ends[:-1].tolist(), ends[1:].tolist(), strict=True)], dtype=object)
 
 
 def run_length_decode(data: Column) -> Column:
@@ -99,7 +104,10 @@ def _decode_charset(data: pd.Series, charset: pd.Series) -> pd.Series:
 
 def decode_charset(data: Column, charset: Column) -> Column:
     """Bytes in a character set, by id, as text: binary as hexadecimal digits, bytes that don't fit replaced, unknown ids null."""
-    return F.pandas_udf(_decode_charset, "string")(data, charset)
+    # UTF-8 and binary are Spark's own; Python sees only the others
+    own = charset.isin(33, 45, 63)
+    other = F.pandas_udf(_decode_charset, "string")(F.when(~own, data), charset)
+    return F.when(charset.isin(33, 45), F.make_valid_utf8(data.cast("string"))).when(charset == 63, F.lower(F.hex(data))).otherwise(other)
 
 
 def detect_charset(data: Column) -> Column:
