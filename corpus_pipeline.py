@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import minhash_dedup, mixing, op3_query, op7_query, pu_quality, sentencepiece_coder, suffix_dedup
-from tidelog.llm.cluster import table
+from tidelog.llm.cluster import drop, table, tables
 
 #: No SQL: the classifier, the suffix construction and the tokenizer have none; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -54,7 +54,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's result is written; then what it was made from goes, so that two stages' files are kept at most."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = set(tables(spark))
     for _, stage in STAGES[:-1]:
         docs = table(stage(spark, docs, sf_dir))
+        drop(spark, [t for t in tables(spark)[:-1] if t not in others])
     return STAGES[-1][1](spark, docs, sf_dir)
