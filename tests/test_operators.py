@@ -24,11 +24,11 @@ def intervals(spark, rows):
 
 
 def ids(df):
-    return {(r.source, n) for r in df.collect() for n in range(r.start, r.end + 1)}
+    return {(r.source, n) for r in (df if isinstance(df, list) else df.collect()) for n in range(r.start, r.end + 1)}
 
 
-def is_canonical(df):
-    rows = sorted((r.source, r.start, r.end) for r in df.collect())
+def is_canonical(rows):
+    rows = sorted((r.source, r.start, r.end) for r in rows)
     return all(a[0] != b[0] or a[2] + 1 < b[1] for a, b in zip(rows, rows[1:], strict=False))
 
 
@@ -40,8 +40,9 @@ spans = st.lists(st.tuples(st.sampled_from(["u", "v"]), st.integers(0, 40), st.i
 def test_sets_behave_as_sets(spark, a, b):
     x, y = (intervals(spark, [(s, n, n + k) for s, n, k in rows]) for rows in (a, b))
     sx, sy = ids(x), ids(y)
-    for made, expected in ((gtid.merge(x, span=8), sx), (gtid.union(x, y), sx | sy), (gtid.intersect(x, y), sx & sy), (gtid.difference(x, y), sx - sy)):
-        assert ids(made) == expected and is_canonical(made)
+    for made, expected in ((gtid.merge(x, span=8), sx), (gtid.union(x, y, 4), sx | sy), (gtid.intersect(x, y, 8), sx & sy), (gtid.difference(x, y, 16), sx - sy), (gtid.difference(x, y), sx - sy)):
+        found = made.collect()
+        assert ids(found) == expected and is_canonical(found)
     rows = spark.createDataFrame([(s, n) for s in "uv" for n in range(50)], "s string, n long")
     assert {tuple(r) for r in gtid.contains(rows, x, "s", "n", span=8).collect()} == sx
     assert {(r.source, r.start, r.end) for r in gtid.parse(gtid.set_text(x)).collect()} == {(r.source, r.start, r.end) for r in gtid.merge(x).collect()}

@@ -1,8 +1,9 @@
 """Sets of global transaction ids: (source, start, end) rows, both ends included.
 
 Intervals merge where they overlap or touch (start <= end + 1). Merging orders the intervals of a source; as a source may
-hold most of a log, its numbers are cut into ranges first: intervals merge inside a range, then the ranges' few intervals
-merge with each other.
+hold most of a log, its numbers are cut into ranges: intervals merge inside a range first, and where a merged interval begins
+anew, in the order of its whole source, is found range by range, with one carried row for each. So is what a sweep over two
+sets' ends has counted.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import ordered
 from tidelog.operators.ordered import with_interval
+from tidelog.sources.scratch import cut
 
 SPAN = 1 << 20
 
@@ -33,7 +35,11 @@ def merge(intervals: DataFrame, span: int = SPAN) -> DataFrame:
     """The fewest intervals that hold the same numbers. Empty intervals (start > end) and nulls hold none."""
     real = intervals.select("source", "start", "end").where("start <= end").distinct()
     inside = _merge(real.withColumn("_range", F.floor(F.col("start") / span)), ["source", "_range"]).drop("_range")
-    return _merge(inside, ["source"])
+    inside = cut(inside)  # read for the intervals and for what is carried between ranges
+    reached = ordered.with_greatest_before(inside, ["source"], "start", "end", "_before", span)
+    new = F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before") + 1), 1).otherwise(0).cast("long")
+    numbered = ordered.with_running(reached, ["source"], "start", {"_island": new}, span)
+    return numbered.groupBy("source", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
 def contains(rows: DataFrame, intervals: DataFrame, source: str, number: str, covered: bool = True, span: int = SPAN) -> DataFrame:
@@ -42,25 +48,25 @@ def contains(rows: DataFrame, intervals: DataFrame, source: str, number: str, co
     return found.where(F.col("_held").isNotNull() if covered else F.col("_held").isNull()).drop("_held")
 
 
-def union(a: DataFrame, b: DataFrame) -> DataFrame:
-    return merge(a.select("source", "start", "end").unionByName(b.select("source", "start", "end")))
+def union(a: DataFrame, b: DataFrame, span: int = SPAN) -> DataFrame:
+    return merge(a.select("source", "start", "end").unionByName(b.select("source", "start", "end")), span)
 
 
-def _swept(a: DataFrame, b: DataFrame) -> DataFrame:
+def _swept(a: DataFrame, b: DataFrame, span: int) -> DataFrame:
     """Pieces of the numbers between all ends, with whether each set holds them: a sweep over both sets' ends."""
     ends = lambda s, k: s.select("source", F.col("start").alias("at"), F.lit(1).alias(f"d{k}"), F.lit(0).alias(f"d{1 - k}")).unionByName(s.select("source", (F.col("end") + 1).alias("at"), F.lit(-1).alias(f"d{k}"), F.lit(0).alias(f"d{1 - k}")))
-    steps = ends(merge(a), 0).unionByName(ends(merge(b), 1)).groupBy("source", "at").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
-    order = Window.partitionBy("source").orderBy("at")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select("source", F.col("at").alias("start"), (F.lead("at").over(order) - 1).alias("end"), (F.sum("d0").over(run) > 0).alias("in_a"), (F.sum("d1").over(run) > 0).alias("in_b")).where(F.col("end").isNotNull())
+    steps = ends(merge(a, span), 0).unionByName(ends(merge(b, span), 1)).groupBy("source", "at").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
+    held = ordered.with_running(cut(steps), ["source"], "at", {"n0": F.col("d0"), "n1": F.col("d1")}, span)
+    pieces = ordered.with_previous(cut(held.select("source", "at", "n0", "n1")), ["source"], "at", ["at", "n0", "n1"], "p", span).where(F.col("p").isNotNull())
+    return pieces.select("source", F.col("p.at").alias("start"), (F.col("at") - 1).alias("end"), (F.col("p.n0") > 0).alias("in_a"), (F.col("p.n1") > 0).alias("in_b"))
 
 
-def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return merge(_swept(a, b).where("in_a and in_b"))
+def intersect(a: DataFrame, b: DataFrame, span: int = SPAN) -> DataFrame:
+    return merge(_swept(a, b, span).where("in_a and in_b"), span)
 
 
-def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return merge(_swept(a, b).where("in_a and not in_b"))
+def difference(a: DataFrame, b: DataFrame, span: int = SPAN) -> DataFrame:
+    return merge(_swept(a, b, span).where("in_a and not in_b"), span)
 
 
 def rendered(start: Column, end: Column) -> Column:

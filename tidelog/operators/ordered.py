@@ -66,6 +66,16 @@ def with_running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Col
     return done.withColumns({n: F.when(F.col(f"_carry.{n}").isNull(), F.col(n)).when(F.col(n).isNull(), F.col(f"_carry.{n}")).otherwise(F.col(n) + F.col(f"_carry.{n}")) for n in sums}).drop("_carry", _RANGE, *(f"_v_{n}" for n in sums))
 
 
+def with_greatest_before(df: DataFrame, keys: list[str], order: str, value: str, out: str, span: int = SPAN) -> DataFrame:
+    """df with the greatest value of the rows before each in the order of its key; null for a key's first row."""
+    ranged = _ranged(df, order, span)
+    inside = Window.partitionBy(*keys, _RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    most = ranged.groupBy(*keys, _RANGE).agg(F.max(value).alias("_most"))
+    before = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = most.select(*keys, _RANGE, F.max("_most").over(before).alias("_carry"))
+    return _join_carry(ranged.withColumn(out, F.max(value).over(inside)), carry, keys).withColumn(out, F.greatest(out, "_carry")).drop("_carry", _RANGE)
+
+
 def with_number(df: DataFrame, keys: list[str], order: str, out: str, span: int = SPAN) -> DataFrame:
     """df with its place in the order of its key, from 1."""
     return with_running(df, keys, order, {out: F.lit(1).cast("long")}, span)
