@@ -2,8 +2,8 @@
 
 Documents fall into cells (source, language, topic). A cell's token count starts as its weight; each round rakes the
 weights to the target marginal of the source, then of the language, then of the topic. Rounds go on, ROUNDS at a time, until no
-marginal that can be met is off by more than TOLERANCE of all tokens; where targets can't all be met that never happens, and
-MOST_ROUNDS end it with a warning. The ratio of a cell's raked
+marginal is off by more than TOLERANCE of all tokens; where targets can't all be met that never happens, and MOST_ROUNDS end it
+with a warning. A number of rounds may also be fixed, for a result that is a fixed expression of the input. The ratio of a cell's raked
 weight to its tokens says how much more often its tokens are wanted than they occur; scaled so that `budget` of all
 tokens are drawn, it is each document's probability of being drawn. Probabilities end at 1, and what a full cell can't
 give is taken from the others, in proportion (`FILLS` rounds). A document is drawn when a hash of its id lies below its
@@ -56,8 +56,8 @@ def _share(dimension: str, target: dict[str, float] | float, total: float) -> Co
     return F.coalesce(named, of / total)
 
 
-def rake(cells: DataFrame, targets: list[dict[str, float] | float], budget: float) -> DataFrame:
-    """cells (d0, d1, d2, n) with ratio and probability."""
+def rake(cells: DataFrame, targets: list[dict[str, float] | float], budget: float, rounds: int | None = None) -> DataFrame:
+    """cells (d0, d1, d2, n) with ratio and probability. rounds: so many, whatever the marginals are then."""
     live = cells.where("n > 0")
     numbers = lambda df, *sums: [float(x or 0) for x in df.agg(*sums).first()]
     (total,) = numbers(live, F.sum("n"))
@@ -68,11 +68,13 @@ def rake(cells: DataFrame, targets: list[dict[str, float] | float], budget: floa
     sums = numbers(live.select(*(c.alias(d) for d, c in one.items())), *(F.sum(d) for d in DIMENSIONS))
     live = live.withColumns({f"share_{d}": F.col(f"share_{d}") / (x or 1.0) for d, x in zip(DIMENSIONS, sums, strict=True)})
     live = live.withColumn("w", F.col("n") / (total or 1.0))
-    for _ in range(0, MOST_ROUNDS, ROUNDS):
-        for _ in range(ROUNDS):
+    for _ in range(0, rounds or MOST_ROUNDS, rounds or ROUNDS):
+        for _ in range(rounds or ROUNDS):
             for d in DIMENSIONS:
                 live = live.withColumn("w", F.col("w") * F.col(f"share_{d}") / F.sum("w").over(Window.partitionBy(d)))
         live = cut(live)
+        if rounds:
+            break
         # the last dimension is met exactly; the others show how far the rounds have come
         marginals = live.select(*(F.abs(F.sum("w").over(Window.partitionBy(d)) - F.col(f"share_{d}")).alias(d) for d in DIMENSIONS[:-1]))
         if max(numbers(marginals, *(F.max(d) for d in DIMENSIONS[:-1]))) <= TOLERANCE:
@@ -90,8 +92,8 @@ def rake(cells: DataFrame, targets: list[dict[str, float] | float], budget: floa
     return live.select(*DIMENSIONS, "ratio", "probability")
 
 
-def mix(docs: DataFrame, source: Column, language: Column, topic: Column, targets: list[dict[str, float] | float], budget: float, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with n_tokens, topic, ratio, probability and drawn."""
+def mix(docs: DataFrame, source: Column, language: Column, topic: Column, targets: list[dict[str, float] | float], budget: float, key: str = "doc_id", text: str = "text", rounds: int | None = None) -> DataFrame:
+    """docs with n_tokens, topic, ratio, probability and drawn. rounds: a fixed number, else until the marginals are met."""
     keep = [c for c in docs.columns if c not in NEW]
     value = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
     rows = docs.select(
@@ -100,7 +102,7 @@ def mix(docs: DataFrame, source: Column, language: Column, topic: Column, target
     )
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n"))
     cells = cut(cells)
-    raked = cut(rake(cells, targets, budget))
+    raked = cut(rake(cells, targets, budget, rounds))
     few = cells.count() <= BROADCAST_CELLS
     joined = rows.join(F.broadcast(raked) if few else raked, list(DIMENSIONS), "left")
     chance = F.coalesce("probability", F.lit(0.0))

@@ -26,7 +26,7 @@ def topic(text: Column) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    return mix(docs, F.col("source"), F.col("lang"), topic(F.col("text")), TARGETS, BUDGET).drop("text", "source", "lang")
+    return mix(docs, F.col("source"), F.col("lang"), topic(F.col("text")), TARGETS, BUDGET, rounds=ROUNDS).drop("text", "source", "lang")
 
 
 def _sql() -> str:
