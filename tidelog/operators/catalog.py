@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.types import SOURCE_OF_SQL
 
-BROADCAST_RULES = 100_000
-
 
 def lookup(rows: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with what the catalog says about their key; the catalog is broadcast by Spark where its size allows."""

@@ -142,9 +142,6 @@ def binary_json_decode(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", documents.binary_json(data).alias("document"))
 
 
-_EVENT = "event_type AS event_name, event_id AS pos, 'log.000001' AS file"
-
-
 @query("""SELECT event_id, '[' || event_type || '], pos ' || event_id || ' in log.000001' AS brief, '{"event_name":"' || event_type || '","pos":' || event_id || '}' AS json, '---' || chr(10) || 'event_name: "' || event_type || '"' || chr(10) || 'pos: ' || event_id || chr(10) || 'file: "log.000001"' AS yaml FROM events""")
 def event_lines(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("event_name"), F.col("event_id").alias("pos"), F.lit("log.000001").alias("file"))
