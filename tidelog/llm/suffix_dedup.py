@@ -343,9 +343,6 @@ def _order_strings(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[p
         yield from build(pa.Table.from_batches(held))
 
 
-SPAN_SCHEMA = "id long, place long, n int"
-
-
 def cut_spans(rows: DataFrame) -> DataFrame:
     """(id, place, n): runs of n windows from a place on that all start earlier too. rows: (id, version, text as binary)."""
     folder = f"{shared_folder(rows.sparkSession)}"
