@@ -139,3 +139,12 @@ def test_column_wise_construction(strings, block):
     assert [strings[i][len(strings[i]) - n - 1] if n < len(strings[i]) else end for _, i, n in suffixes] == b.tolist()
     common = lambda x, y: next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
     assert [0] + [common(x[0], y[0]) for x, y in zip(suffixes, suffixes[1:], strict=False)] == shared.tolist()
+
+
+def test_stores_for_the_construction(tmp_path):
+    strings = [b"abcab", b"bcabc", b"ab"]
+    data, first = np.frombuffer(b"".join(strings), np.uint8), np.r_[0, np.cumsum([len(s) for s in strings])]
+    found = [construct(data, first, folder, 3) for folder in (str(tmp_path), f"file://{tmp_path}", "nowhere://store/folder")]
+    assert all((x == y).all() for other in found[1:] for x, y in zip(found[0], other, strict=True)) and not list(tmp_path.iterdir())
+    with pytest.raises(ValueError):
+        construct(np.zeros(300, np.uint8), np.array([0, 300]), str(tmp_path))

@@ -14,10 +14,13 @@ are a few numbers for each string and symbol, one block, and the answer.
 
 from __future__ import annotations
 
+import contextlib
+import io
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 
 BLOCK = 1 << 20
@@ -25,6 +28,36 @@ END = 255  # stands where a string has no symbol left; 256 where strings hold by
 LONGEST = 254
 
 
+class _Memory:
+    """Files in memory, for a folder in a store that pyarrow doesn't open; a construction's files are as large as its strings."""
+
+    def __init__(self) -> None:
+        self.files: dict[str, bytes] = {}
+
+    def create_dir(self, path: str) -> None: ...
+
+    def delete_dir(self, path: str) -> None:
+        self.files.clear()
+
+    def open_input_stream(self, path: str, compression: None = None) -> io.BytesIO:
+        return io.BytesIO(self.files[path])
+
+    @contextlib.contextmanager
+    def open_output_stream(self, path: str, compression: None = None) -> Iterator[io.BytesIO]:
+        yield (out := io.BytesIO())
+        self.files[path] = out.getvalue()
+
+
+def opened(folder: str) -> tuple[fs.FileSystem | _Memory, str]:
+    """(store, path) of a folder's path or URI."""
+    if "://" not in folder:
+        return fs.LocalFileSystem(), folder
+    try:
+        return fs.FileSystem.from_uri(folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):  # no such scheme
+        return _Memory(), folder
+
+
 class _Column:
     """An array in two files by turns: one is read front to back, the other written front to back."""
 
@@ -134,7 +167,7 @@ def construct(data: np.ndarray, first: np.ndarray, folder: str, block: int = BLO
     """(B, L, string, length): the transform, shared lengths, and which string's suffix of what length stands where.
 
     String i is data[first[i]:first[i+1]], of 1 to LONGEST bytes; equal suffixes stand in the order of their strings. The
-    files are written to a folder of their own inside `folder` (a path, or a URI that pyarrow opens), which goes at the end.
+    files are written to a folder of their own inside `folder`, which goes at the end.
     """
     m, size = len(first) - 1, np.diff(first)
     if m == 0 or int(size.max()) > LONGEST or int(size.min()) < 1:
@@ -142,7 +175,7 @@ def construct(data: np.ndarray, first: np.ndarray, folder: str, block: int = BLO
     end = END + int(data.max() == 255)
     kind = np.uint8 if end == END else np.uint16
     data = data.astype(kind, copy=False)
-    store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    store, root = opened(folder)
     root = f"{root}/columnwise-{uuid.uuid4().hex}"
     store.create_dir(root)
     try:
