@@ -148,3 +148,17 @@ def test_stores_for_the_construction(tmp_path):
     assert all((x == y).all() for other in found[1:] for x, y in zip(found[0], other, strict=True)) and not list(tmp_path.iterdir())
     with pytest.raises(ValueError):
         construct(np.zeros(300, np.uint8), np.array([0, 300]), str(tmp_path))
+
+
+def test_small_constructions_need_no_disk(tmp_path, monkeypatch):
+    """Its files are written anew each round, which took more time than the rounds; larger ones still go to the folder."""
+    strings = [b"x" * 3 + b"y" * suffix_dedup.REST, b"z" + b"y" * suffix_dedup.REST]
+    data, first = np.frombuffer(b"".join(strings), np.uint8), np.r_[0, np.cumsum([len(s) for s in strings])]
+    args = data, first, np.zeros(2, np.int64), np.array([3, 1]), np.array([1, 2]), np.zeros(2, np.int64)
+    (tmp_path / "file").touch()
+    string, offset, late = suffix_dedup.repeats(*args, str(tmp_path / "file"))
+    assert {(int(string[k]), int(offset[k])) for k in np.flatnonzero(late)} == {(1, 1)}
+    monkeypatch.setattr(suffix_dedup, "IN_MEMORY", 0)
+    with pytest.raises(OSError):
+        suffix_dedup.repeats(*args, str(tmp_path / "file"))
+    assert all((x == y).all() for x, y in zip((string, offset, late), suffix_dedup.repeats(*args, str(tmp_path)), strict=True))

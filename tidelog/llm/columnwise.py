@@ -9,7 +9,7 @@ successive places of that symbol.
 B and L are files, in a folder that the caller names, and are only ever read and written from front to back, BLOCK symbols
 at a time: a round reads both once to find the new places and shared lengths (of what lies before a block it keeps, for each
 symbol, how often it occurred and the least L since), and once more to write them anew with the new symbols put in. In memory
-are a few numbers for each string and symbol, one block, and the answer.
+are a few numbers for each string and symbol, one block, and the answer. Without a folder the files are held in memory.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ LONGEST = 254
 
 
 class _Memory:
-    """Files in memory, for a folder in a store that pyarrow doesn't open; a construction's files are as large as its strings."""
+    """Files in memory: without a folder, or for one in a store that pyarrow doesn't open. They are as large as the strings."""
 
     def __init__(self) -> None:
         self.files: dict[str, bytes] = {}
@@ -48,8 +48,10 @@ class _Memory:
         self.files[path] = out.getvalue()
 
 
-def opened(folder: str) -> tuple[fs.FileSystem | _Memory, str]:
+def opened(folder: str | None) -> tuple[fs.FileSystem | _Memory, str]:
     """(store, path) of a folder's path or URI."""
+    if folder is None:
+        return _Memory(), ""
     if "://" not in folder:
         return fs.LocalFileSystem(), folder
     try:
@@ -163,11 +165,11 @@ def _changed(parts: Iterable[np.ndarray], at: np.ndarray, values: np.ndarray) ->
         start, k = start + len(part), stop
 
 
-def construct(data: np.ndarray, first: np.ndarray, folder: str, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def construct(data: np.ndarray, first: np.ndarray, folder: str | None, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(B, L, string, length): the transform, shared lengths, and which string's suffix of what length stands where.
 
     String i is data[first[i]:first[i+1]], of 1 to LONGEST bytes; equal suffixes stand in the order of their strings. The
-    files are written to a folder of their own inside `folder`, which goes at the end.
+    files are written to a folder of their own inside `folder`, which goes at the end; None: they are held in memory.
     """
     m, size = len(first) - 1, np.diff(first)
     if m == 0 or int(size.max()) > LONGEST or int(size.min()) < 1:

@@ -13,7 +13,8 @@ it would take as many rounds as the longest text has bytes. Here it orders the s
    those bytes refine the anchor to a group of strings. What a group has in common, K + SIDE bytes, is left out: of a
    window its other REST bytes remain, some before that place and some after it.
 4. The strings are put in order by columnwise.construct, about STRINGS of them at a time and whole groups at once; its
-   transform and common prefixes are sequential files in the shared folder. Neighbours that share REST bytes, in one group
+   transform and common prefixes are sequential files, in the shared folder where the strings have more than IN_MEMORY
+   bytes, else in memory: each of up to 68 rounds writes them anew, and a disk is slower than the rounds. Neighbours that share REST bytes, in one group
    and at one place, are equal windows, and all but the first are cut.
 5. A group of more than STRINGS strings is dealt into blocks, which are put in order in the same way. The first windows of
    its blocks, one of each kind a block, are then compared by their bytes over all blocks, with partial minima before the
@@ -50,6 +51,7 @@ REST = LENGTH - K - SIDE
 PIECE = 1 << 21
 PLACE_BITS = 22
 STRINGS = 16_000
+IN_MEMORY = 32 << 20
 BROADCAST_ROWS = 200_000
 START_BITS = 31  # a Spark value has less than 2^31 bytes
 RUN_BITS = 8  # a run has at most SPAN windows
@@ -280,7 +282,7 @@ def repeats(data: np.ndarray, first: np.ndarray, group: np.ndarray, before: np.n
 
     Rows that aren't late are the first of their kind. group: less than 2^32.
     """
-    _, shared, string, length = construct(data, first, folder)
+    _, shared, string, length = construct(data, first, folder if len(data) > IN_MEMORY else None)
     window = length >= REST
     same = np.cumsum(shared < REST)
     string, length, same = string[window].astype(np.int64), length[window], same[window]
