@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tidelog.llm import vector_dedup
 from tidelog.llm.graph import components
 from tidelog.llm.vector_dedup import DEALT, _by_all_pairs, _by_windows, near_vectors, passes_for, passes_in, stars
 
@@ -134,3 +135,17 @@ def test_windows_and_all_pairs_agree(spark):
     reps = spark.createDataFrame([(i, x, x) for i, x in rows], "node long, x binary, h binary")
     found = [{r.id: r.component for r in components(links).collect()} for links in (_by_windows(reps, len(rows), 8, "<f4", 0.95, 128), _by_all_pairs(reps, 3 * DEALT, "<f4", 0.95))]
     assert found[0] == found[1] and len(found[0]) > 300
+
+
+def test_no_switch_to_windows(spark, monkeypatch):
+    """Where passes would be cheaper than all pairs, no link is given up for that; only a caller who asks for it gets windows."""
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((1500, 64)))
+    y = rng.standard_normal((1500, 64))
+    y = unit(y - (y * x).sum(1, keepdims=True) * x)
+    both = np.concatenate([x, 0.951 * x + (1 - 0.951**2) ** 0.5 * y])
+    monkeypatch.setattr(vector_dedup, "measured_passes", lambda *_: 1)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    found, fewer = ({r.vec_id: r.component_id for r in near_vectors(vectors, approximate=a).where("n_links = 1").collect()} for a in (False, True))
+    assert found == {i: i % 1500 for i in range(3000)} and 0 < len(fewer) < 3000

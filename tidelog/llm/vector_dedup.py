@@ -1,13 +1,15 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup: all pairs in blocks, or sorted projection passes where the caller asks for an approximate result.
 
 1. Vectors with equal bytes collapse to the smallest id, with their number, by a partial aggregate.
-2. Each pass gives a vector 64 random hashes, the signs of random projections, concatenated. Vectors are sorted by them
+2. All pairs are compared in double precision at any size of the table, dealt into blocks, so no link is missed; the arithmetic
+   grows with the square of the vectors. With approximate=True passes take its place, also at any size; nothing switches by
+   itself. Each pass gives a vector 64 random hashes, the signs of random projections, concatenated. Vectors are sorted by them
    lexicographically over the whole table (range partitions), and each is compared with the WINDOW that follow it, in
    double precision. A range's first and last WINDOW vectors go on, with their places in the whole order, to be compared
    across the borders of ranges, in blocks of BLOCK places; so the result doesn't depend on the number of ranges. Of what
    is found in a block only a star for each group of linked vectors is kept, so a dense group gives no more rows than it has
    members.
-3. The stars of all passes are united, by connected components that never leave the executors.
+3. The stars of all blocks or passes are united, by connected components that never leave the executors.
 4. Inside each component all members are compared, block by block, so a vector's number of links counts every member at
    or above the threshold, also those that no window held together. A component of m vectors is dealt into about
    sqrt(m / 64) blocks, and each pair of blocks is a task's work of its own; only counts are sent on.
@@ -17,7 +19,7 @@ they share so many leading hashes that at most WINDOW others share them too: abo
 vectors, more where many lie near each other. How many is measured on a sample (the SAMPLE smallest digests), and the number
 of passes is set so that such a pair is missed in all passes with a probability of at most MISS, also in the most crowded
 place of the sample. Among spread-out vectors it grows as n^0.15; where a third of them lie in a cone the passes are
-many. Once they would compare more than all pairs do, all pairs are compared instead, dealt into blocks, and none is missed.
+many.
 
 Defined results: a vector that is null, empty or zero, or holds null or non-finite components, links with nothing (its
 component is its own id). Vectors of different lengths link with nothing of another length. A null id keeps its row:
@@ -46,7 +48,7 @@ WINDOW = 128
 MISS = 0.005
 BLOCK = 1024
 AT_ONCE = 200_000
-DEALT = 4096
+DEALT, DEALT_BYTES, LEAST_BLOCKS = 32_768, 16 << 20, 8
 SAMPLE, CENTRES = 2048, 512
 SEED = 20240229
 NEW = ("n_links", "component_id", "kept")
@@ -195,18 +197,19 @@ def _all_pairs(batches: Iterator[pa.RecordBatch], kind: str, threshold: float) -
     def pair(ids: list, side: list, data: list) -> pa.RecordBatch:
         own, second, x = np.array(ids, np.int64), np.array(side) == 1, units(data, kind)
         a, b = np.flatnonzero(~second), np.flatnonzero(second)
-        ends = []
+        within, ends = not len(b), []
+        b = a if within else b
         for low in range(0, len(a), BLOCK):
-            part, other = a[low : low + BLOCK], b if len(b) else a[low:]
-            near = x[part] @ x[other].T >= threshold
-            if len(b):
-                near = np.c_[np.zeros((len(part), len(part)), bool), near]
-                other = np.r_[part, b]
-            else:
-                near &= np.arange(len(other))[None, :] > np.arange(len(part))[:, None]
-            label = stars(near)
-            far = np.flatnonzero(label != np.arange(len(label)))
-            ends.append(np.stack([other[label[far]], other[far]]))
+            part = a[low : low + BLOCK]
+            for start in range(low if within else 0, len(b), 8 * BLOCK):
+                other = b[start : start + 8 * BLOCK]
+                i, j = np.divmod(np.flatnonzero(x[part] @ x[other].T >= threshold), len(other))
+                i, j = part[i], other[j]
+                if len(i):
+                    both, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+                    label = joined(len(both), at[: len(i)], at[len(i) :])
+                    far = np.flatnonzero(label != np.arange(len(label)))
+                    ends.append(np.stack([both[label[far]], both[far]]))
         label = joined(len(own), *np.concatenate(ends, 1)) if ends else np.arange(len(own))
         far = np.flatnonzero(label != np.arange(len(label)))
         return pa.RecordBatch.from_arrays([pa.array(own[label[far]]), pa.array(own[far])], ["a", "b"])
@@ -334,16 +337,17 @@ def _by_windows(reps: DataFrame, n: int, passes: int, kind: str, threshold: floa
 
 
 def _by_all_pairs(reps: DataFrame, n: int, kind: str, threshold: float) -> DataFrame:
-    """Stars of all links: every pair of blocks of about DEALT vectors is a task's work of its own."""
-    blocks = max(1, math.ceil(n / DEALT))
+    """Stars of all links: every pair of blocks of at most about DEALT vectors, or DEALT_BYTES as doubles, is a task's work of its own."""
+    longest = (reps.agg(F.max(F.octet_length("x"))).first()[0] or 0) * 8 // np.dtype(kind).itemsize
+    blocks = max(LEAST_BLOCKS, math.ceil(n / DEALT), math.ceil(n * longest / DEALT_BYTES))
     dealt = reps.select("node", "x", F.octet_length("x").alias("size"), F.pmod(F.xxhash64("h", F.lit("pairs")), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     dealt = dealt.select("size", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "x")
     ordered = dealt.repartition("size", "i", "j").sortWithinPartitions("size", "i", "j", "side")
     return cut(ordered.mapInArrow(partial(_all_pairs, kind=kind, threshold=threshold), "a long, b long").distinct())
 
 
-def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, window: int = WINDOW) -> DataFrame:
-    """vectors without the vector itself, with n_links, component_id and kept."""
+def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, window: int = WINDOW, approximate: bool = False) -> DataFrame:
+    """vectors without the vector itself, with n_links, component_id and kept. approximate: links are found by passes of windows."""
     kind = "<f4" if isinstance(vectors.schema[vector].dataType, ArrayType) and isinstance(vectors.schema[vector].dataType.elementType, FloatType) else "<f8"
     others = [c for c in vectors.columns if c not in (key, vector, *NEW)]
     base = vectors.select(
@@ -356,9 +360,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     live = rows.where("x is not null and id is not null")
     reps = table(live.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("x").alias("x")).withColumn("node", F.monotonically_increasing_id()))
     n = reps.count()
-    passes = measured_passes(reps, n, kind, threshold, window)
-    # a pass compares each vector with a block of BLOCK, all pairs with half of all
-    links = _by_all_pairs(reps, n, kind, threshold) if passes * 2 * BLOCK >= n else _by_windows(reps, n, passes, kind, threshold, window)
+    links = _by_windows(reps, n, measured_passes(reps, n, kind, threshold, window), kind, threshold, window) if approximate else _by_all_pairs(reps, n, kind, threshold)
     # the vectors that a repeated id stands for belong together
     several = live.groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("id")
     versions = live.select("id", "h").join(several, "id").distinct().join(reps.select("h", "node"), "h").select("id", "node")
