@@ -224,6 +224,23 @@ def test_recall_of_near_recordings(spark):
     assert np.mean([got[i].class_id == got[j].class_id for i, j in near]) >= 0.95
 
 
+def test_no_link_is_left_out(spark, monkeypatch):
+    """Lone pairs near the limit that share no key, and links that keys lead to not at all."""
+    base = _codes(200, 21)
+    codes = np.concatenate([base, _flipped(base, 0.115, 22)])
+    error = lambda p, q: audio_match.align_one(p, q, np.array([0, len(q)]))[1][0]
+    want = {(i, i + 200) for i in range(200) if error(codes[i], codes[i + 200]) <= 0.12}
+    reps = _frame(spark, codes)
+    by_keys = {(min(r), max(r)) for r in audio_match.tested_links(reps, 0.12).collect()}
+    rest = audio_match.links_between(reps, spark.createDataFrame([(b, a) for a, b in by_keys] + [(a, a) for a, _ in by_keys], "node long, component long"), 0.12).collect()
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in rest}
+    assert len(want) > 100 and found and not found & by_keys and by_keys | found >= want
+    assert all(r.error == pytest.approx(brute_error(codes[r.a], codes[r.b])) and r.offset == 0 for r in rest)
+    monkeypatch.setattr(audio_match, "tested_links", lambda reps, *_: spark.createDataFrame([], "a long, b long"))
+    rows = [(1, wav(song(1))), (2, wav(song(1) * 0.5)), (3, wav(song(2)))]
+    assert {r.id: r.class_id for r in align(spark.createDataFrame(rows, "id long, media binary")).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def _study(spark, sf):
     """(measures, trusted, labels, held out) of a small table."""
     folder = f"/root/testdata/{sf}"

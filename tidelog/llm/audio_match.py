@@ -7,7 +7,8 @@
    tones) give none. Fingerprints that share a key are chained to the first of the key. Each of these links is tested by
    aligning its two ends, so that keys shared by chance join nothing. Fingerprints for which every test failed are chained
    again among themselves, without those that led them, in an order of each round's own, up to ROUNDS rounds. Connected
-   components of the links that hold are candidate groups.
+   components of the links that hold are candidate groups. Then all pairs of two groups that share a 24-bit part, without
+   which step 3 finds no offset, are aligned too, block by block, so no link is left out; their links join the groups.
 3. In each group a breadth-first search aligns a fingerprint with all that aren't linked yet: an offset histogram counts,
    over equal 24-bit parts, by how many places the other one is shifted; at its peak the bits of all overlapping codes are
    compared. Two recordings are linked where at most MAX_ERROR of these bits differ and the overlap is at least half of the
@@ -15,12 +16,9 @@
    blocks.
 4. Components of the links are classes; each recording keeps the link with the fewest errors.
 
-Random recordings differ in about half of the bits at a given offset, and in no less than 0.2 in 2 million pairs. The
-candidates are probabilistic: lone pairs of 6-second recordings (48 codes) share a key in 0.99 of all cases at an error of
-0.08, in 0.96 at 0.1, in 0.85 at MAX_ERROR, and in 0.46 at 0.15; members of larger groups and longer recordings more often. Of
-2000 random recordings 1 in 3000 keys is shared by chance, so among up to some millions a key's first holder is mostly a near
-one; beyond, fewer of the pairs that share few keys are found. (Parts of 16 bits find 0.95 at MAX_ERROR, but share 4 times as
-many keys by chance.)
+Random recordings differ in about half of the bits at a given offset, and in no less than 0.2 in 2 million pairs. Keys
+alone would find lone pairs of 6-second recordings (48 codes) in 0.99 of all cases at an error of 0.08, in 0.96 at 0.1 and in
+0.85 at MAX_ERROR; the pairs of blocks find the rest, at a cost that grows with the square of the recordings.
 
 Defined results: null media, media that can't be read, and recordings too short for two codes have no keys, link with
 nothing but equal ones and are their own class; those without a code link with nothing. A null id keeps its row: class null, kept. Rows that repeat an id share one class. Equal
@@ -50,6 +48,7 @@ MAX_ERROR = 0.12
 GROUP_BYTES = 4 << 20
 MATCHES = 1 << 21
 ROUNDS = 2
+DEALT, DEALT_BYTES, LEAST_BLOCKS = 32_768, 8 << 20, 4
 _TURN = 0x9E3779B97F4A7C15  # odd: its powers shuffle the nodes, and their inverses bring them back
 NEW = ("codes", "n_codes", "fingerprint_sha256", "class_id", "kept", "aligned_id", "offset", "bit_error")
 
@@ -225,6 +224,63 @@ def tested_links(reps: DataFrame, max_error: float, rounds: int = ROUNDS) -> Dat
     return links_
 
 
+def _between(batches: Iterator[pa.RecordBatch], max_error: float) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (x, y, side): links (a, b, offset, error) of a block, or of two blocks, between different groups."""
+
+    def pair(nodes: list, labels: list, sides: list, data: list) -> pa.RecordBatch:
+        label, second, codes, n = np.array(labels, np.int64), np.array(sides) == 1, [codes_of(x) for x in data], len(nodes)
+        parts = [np.unique(np.concatenate(_parts(c[_fresh(c)]))) if len(c) > 1 else np.zeros(0, np.int64) for c in codes]
+        within, key, row = not second.any(), np.concatenate(parts), np.repeat(np.arange(n), [len(x) for x in parts])
+        own, other = (slice(None), slice(None)) if within else (~second[row], second[row])
+        order = np.argsort(key[other], kind="stable")
+        key_b, row_b, row_a = key[other][order], row[other][order], row[own]
+        low = np.searchsorted(key_b, key[own])
+        count = np.searchsorted(key_b, key[own], "right") - low
+        total, ends = np.r_[0, np.cumsum(count)], np.flatnonzero(np.r_[row_a[1:] != row_a[:-1], True]) + 1 if len(row_a) else []
+        out, start, k = [], 0, 0
+        while k < len(ends):  # whole recordings, about MATCHES shared parts
+            k = max(k + 1, int(np.searchsorted(total[ends], total[start] + MATCHES, "right")))
+            c = count[start : ends[k - 1]]
+            p, q = np.repeat(row_a[start : ends[k - 1]], c), row_b[np.repeat(low[start : ends[k - 1]] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+            start = ends[k - 1]
+            apart = label[p] != label[q]
+            if within:
+                apart &= p < q
+            p, q = np.divmod(np.unique(p[apart] * n + q[apart]), n)
+            if not len(p):
+                continue
+            cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]).tolist()
+            for first, last in zip(cuts, [*cuts[1:], len(p)], strict=True):
+                found = [codes[x] for x in q[first:last]]
+                offset, error = align_one(codes[p[first]], np.concatenate(found), np.r_[0, np.cumsum([len(x) for x in found])])
+                out += [(nodes[p[first]], nodes[q[first + h]], int(offset[h]), float(error[h])) for h in np.flatnonzero(error <= max_error).tolist()]
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "offset", "error"])
+
+    now, held = None, ([], [], [], [])
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("node", "label", "side", "data")]
+        for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("x", "y")), strict=True)):
+            if key != now:
+                if len(held[0]) > 1:
+                    yield pair(*held)
+                now, held = key, ([], [], [], [])
+            for store, column in zip(held, columns, strict=True):
+                store.append(column[k])
+    if len(held[0]) > 1:
+        yield pair(*held)
+
+
+def links_between(reps: DataFrame, groups: DataFrame, max_error: float) -> DataFrame:
+    """(a, b, offset, error) of all links between different groups, or ungrouped ones; reps: (node, data), groups: (node, component)."""
+    n, size = reps.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()
+    blocks = max(LEAST_BLOCKS, -(-n // DEALT), -(-size // DEALT_BYTES))
+    labelled = reps.select("node", "data").join(groups, "node", "left").select("node", "data", F.coalesce("component", "node").alias("label"), F.pmod(F.xxhash64("node", F.lit("pairs")), F.lit(blocks)).cast("int").alias("block"))
+    dealt = labelled.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "label", "data")
+    ordered = dealt.repartition("x", "y").sortWithinPartitions("x", "y", "side")
+    return table(ordered.mapInArrow(partial(_between, max_error=max_error), "a long, b long, offset long, error double"))
+
+
 def align(recordings: DataFrame, key: str = "id", media: str = "media", read: Callable[[object], np.ndarray] = read_wav, max_error: float = MAX_ERROR) -> DataFrame:
     """recordings without their media, with codes and the columns of NEW. read: a value of the media column to mono samples."""
     others = [c for c in recordings.columns if c not in (key, media, *NEW)]
@@ -235,6 +291,8 @@ def align(recordings: DataFrame, key: str = "id", media: str = "media", read: Ca
     live = rows.where("id is not null and octet_length(data) > 0")
     reps = table(live.groupBy("h").agg(F.min("id").alias("rep"), F.first("data").alias("data")).withColumn("node", F.monotonically_increasing_id()))
     groups = cut(components(tested_links(reps, max_error)).withColumnRenamed("id", "node"))
+    rest = links_between(reps, groups, max_error)
+    groups = cut(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest.select("a", "b"))).withColumnRenamed("id", "node"))
     # a group above the limit is dealt into blocks, and each pair of blocks is searched on its own
     members = reps.select("node", "data").join(groups, "node")
     weights = members.groupBy("component").agg(F.ceil(F.sum(F.octet_length("data")) * 2 / GROUP_BYTES).cast("int").alias("blocks"))
@@ -244,7 +302,7 @@ def align(recordings: DataFrame, key: str = "id", media: str = "media", read: Ca
     dealt = dealt.withColumn("pair", F.explode(F.when(F.col("blocks") <= 2, whole).otherwise(pairs)))
     dealt = dealt.select("component", F.col("pair.x").alias("x"), F.col("pair.y").alias("y"), "node", "data")
     aligned = dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(partial(_search_groups, max_error=max_error), "a long, b long, offset long, error double")
-    aligned = table(aligned)
+    aligned = table(aligned.unionByName(rest))
     several = live.groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("id")
     versions = live.select("id", "h").join(several, "id").distinct().join(reps.select("h", "node"), "h").select("id", "node")
     ties = versions.join(versions.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b"))
