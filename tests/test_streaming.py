@@ -77,3 +77,11 @@ def test_progress_is_kept(spark, feed_stream, tmp_path):
         assert sum(p["rows"] for p in log.progress) == 5
     finally:
         spark.streams.removeListener(log)
+
+
+def test_what_is_drained_lies_in_files(spark, feed_stream):
+    """Not in the driver's memory; of two complete batches the last one stands."""
+    every = drained(feed_stream, "append")
+    assert every.inputFiles() and sorted(r.pos for r in every.collect()) == [1, 2, 3, 4, 5]
+    counted = drained(feed_stream.groupBy("op").count(), "complete")
+    assert counted.inputFiles() and {tuple(r) for r in counted.collect()} == {("INSERT", 2), ("UPDATE", 2), ("DELETE", 1)}

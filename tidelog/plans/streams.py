@@ -1,13 +1,12 @@
-"""Queries of streams. A table's files are the stream; all of it is read by one trigger, into a table in memory."""
+"""Queries of streams. A table's files are the stream; all of it is read by one trigger, into files of the shared folder."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.plans.registry import query, read
+from tidelog.sources import scratch
 from tidelog.streaming import changes
 
 
@@ -23,10 +22,18 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives once it has read everything."""
-    spark, name = stream.sparkSession, f"drained_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """What a stream gives once it has read everything. Executors write its batches; a complete one stands for all before it."""
+    folder = scratch.folder(stream.sparkSession, "drained")
+    kept: list[str] = []
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        kept.append(f"{folder}/{batch_id}")
+        batch.write.mode("overwrite").parquet(kept[-1])
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    if not kept:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(*(kept[-1:] if mode == "complete" else dict.fromkeys(kept)))
 
 
 @query("""
