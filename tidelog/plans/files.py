@@ -49,7 +49,7 @@ def log_pieces(spark, sf_dir):
     """Logs cut into pieces at any byte; table maps and transactions hold on from piece to piece."""
     whole = logs(spark, sf_dir).withColumn("n", F.ceil(F.octet_length("data") / PIECE).cast("int"))
     pieces = whole.select("file", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("nr"), "data").select("file", "nr", F.expr(f"substring(data, nr * {PIECE} + 1, {PIECE})").alias("data"))
-    feed = binlog.changes(binlog.decode_pieces(pieces, "file", "nr", "data"))
+    feed = binlog.changes(binlog.decode_pieces(pieces, "file", "nr", "data", **binlog.CHANGED))
     number = F.substring_index("gtid", ":", -1).cast("long")
     return feed.groupBy(F.substring_index("file", ".", -1).cast("long").alias("log"), "op").agg(F.count("*").alias("rows"), F.max_by("gtid", number).alias("last_gtid"))
 

@@ -36,6 +36,10 @@ from tidelog.sources.wire import DELETES, EVENT_SCHEMA, UPDATES, WRITES
 
 BATCH_EVENTS = 2000
 SPLIT_BYTES = 128 << 20
+#: Columns that only payloads tell of.
+_OF_PAYLOADS = frozenset(("table_id", "database_name", "table_name", "body", "rows", "error"))
+#: What changes() needs of events: for the types and columns of readers.
+CHANGED = {"types": set(wire.ROWS), "columns": ("file", "pos", "gtid", "when", "event_type", "database_name", "table_name", "rows")}
 
 
 def _columns(found: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -53,61 +57,81 @@ def batches(found: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch
         yield _columns(held, schema)
 
 
+def _kind(columns: tuple[str, ...] | None) -> StructType:
+    kind = StructType.fromDDL(EVENT_SCHEMA)
+    return kind if columns is None else StructType([kind[c] for c in columns])
+
+
 def _state(decoders: Decoders | None) -> wire.State:
     return wire.State(cells=decoders.chosen("cells"), events=decoders.chosen("events")) if decoders else wire.State()
 
 
 def _decode(parts: Iterator[pa.RecordBatch], schema: pa.Schema, types: set[int] | None, decode_rows: bool, strict: bool, decoders: Decoders | None) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        for name, data in zip(part.column("file").to_pylist(), part.column("data").to_pylist(), strict=True):
-            if data is not None:
-                yield from batches(wire.events(data, name, types=types, decode_rows=decode_rows, state=_state(decoders), strict=strict), schema)
+    headers = not _OF_PAYLOADS.intersection(schema.names)
+
+    def found() -> Iterator[dict]:
+        for part in parts:
+            for name, data in zip(part.column("file"), part.column("data"), strict=True):  # one log at a time is copied
+                if data.is_valid:
+                    yield from wire.events(data.as_py(), name.as_py(), types=types, decode_rows=decode_rows, state=_state(decoders), strict=strict, headers=headers)
+
+    yield from batches(found(), schema)
 
 
 def decode_logs(
     logs: DataFrame, data: str, file: str | Column | None = None, types: set[int] | None = None, decode_rows: bool = True, strict: bool = False, decoders: Decoders | None = None,
+    columns: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """Events of a column of log bytes. A null is no log."""
+    """Events of a column of log bytes. A null is no log. columns: those that are made; without any of payloads, headers are enough."""
     name = F.lit(None).cast("string") if file is None else F.col(file) if isinstance(file, str) else file
-    kind = StructType.fromDDL(EVENT_SCHEMA)
+    kind = _kind(columns)
     run = partial(_decode, schema=to_arrow_schema(kind), types=types, decode_rows=decode_rows, strict=strict, decoders=decoders)
     return logs.select(name.alias("file"), F.col(data).cast("binary").alias("data")).mapInArrow(run, kind)
 
 
 def _pieces(batches_: Iterator[pa.RecordBatch], schema: pa.Schema, types: set[int] | None, decode_rows: bool) -> Iterator[pa.RecordBatch]:
-    """Of pieces sorted by (file, nr): the events of each file. What a piece ends with is kept for the next one."""
-    now, held, base, state, seen = None, b"", 0, wire.State(), False
+    """Of pieces sorted by (file, nr): the events of each file. What a piece ends with is kept until its event is whole."""
 
-    def complete(data: bytes) -> tuple[list[dict], bytes, int]:
-        nonlocal seen
-        begin = 4 if not seen and data[:4] == wire.MAGIC else 0
-        seen, out, end = True, [], begin
+    def complete(data: bytes, base: int, begin: int, file: str | None, state: wire.State) -> Iterator[dict]:
+        """The complete events of data; returns where they end."""
+        end = begin
         try:
             for place, size, code in wire.frames(data, begin):
                 end = place + size
-                wanted = types is None or code in types
-                found = wire.event(data, place, size, state, now, decode_rows and wanted, wanted or code in wire.STATEFUL or code in (*WRITES, *UPDATES, *DELETES))
-                found.pop("inner", None)
-                if wanted:
-                    out.append(found | {"pos": base + place})
+                if types is None or code in types:
+                    found = wire.event(data, place, size, state, file, decode_rows)
+                    found.pop("inner", None)
+                    yield found | {"pos": base + place}
+                elif code in wire.STATEFUL or code in wire.ROWS:
+                    wire.learn(data, place, size, state)
         except ValueError as problem:
-            return [*out, wire.corrupt(data, end, now, str(problem)) | {"pos": base + end}], b"", base + len(data)
-        return out, data[end:], base + end
-
-    for batch in batches_:
-        for file, piece in zip(batch.column("file").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            if file != now:
-                now, held, base, state, seen = file, b"", 0, wire.State(), False
-            held += piece or b""
-            if not seen and len(held) < 4:
-                continue
-            found, held, base = complete(held)
-            yield from batches(iter(found), schema)
-
-
-def decode_pieces(pieces: DataFrame, file: str, order: str, data: str, types: set[int] | None = None, decode_rows: bool = True) -> DataFrame:
+            yield wire.corrupt(data, end, file, str(problem)) | {"pos": base + end}
+            return len(data)
+        return end
+
+    def events() -> Iterator[dict]:
+        now, held, size, needed, base, state, seen = None, [], 0, 4, 0, wire.State(), False
+        for batch in batches_:
+            for file, piece in zip(batch.column("file"), batch.column("data"), strict=True):
+                file, piece = file.as_py(), piece.as_py() or b""
+                if file != now:
+                    now, held, size, needed, base, state, seen = file, [], 0, 4, 0, wire.State(), False
+                held.append(piece)
+                size += len(piece)
+                if size < needed:
+                    continue
+                data = b"".join(held)
+                end = yield from complete(data, base, 4 if not seen and data[:4] == wire.MAGIC else 0, now, state)
+                seen, base, left = True, base + end, data[end:]
+                held, size = [left], len(left)
+                needed = int.from_bytes(left[9:13], "little") if size >= wire.HEADER else wire.HEADER
+
+    yield from batches(events(), schema)
+
+
+def decode_pieces(pieces: DataFrame, file: str, order: str, data: str, types: set[int] | None = None, decode_rows: bool = True, columns: tuple[str, ...] | None = None) -> DataFrame:
     """Events of logs that come in pieces, cut anywhere: an event that a piece begins ends in a later one, and table maps hold on."""
-    kind = StructType.fromDDL(EVENT_SCHEMA)
+    kind = _kind(columns)
     rows = pieces.select(F.col(file).alias("file"), F.col(order).alias("nr"), F.col(data).cast("binary").alias("data")).repartition("file").sortWithinPartitions("file", "nr")
     return rows.mapInArrow(partial(_pieces, schema=to_arrow_schema(kind), types=types, decode_rows=decode_rows), kind)
 
@@ -153,12 +177,21 @@ def typed(feed: DataFrame, columns: list[tuple[str, str]], image: str = "after",
     return feed.select(*(c for c in keep if c in feed.columns), *(F.get(image, F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(columns)))
 
 
-def from_position(events: DataFrame, position: str) -> DataFrame:
-    """Events from a start on: earliest, or file:position (files are ordered by their names)."""
-    if position == "earliest":
-        return events
+def is_from(position: str) -> Column:
+    """Whether an event begins at a place, file:position, or after it (files are ordered by their names)."""
+    file, _, pos = position.rpartition(":")
+    return (F.col("file") > file) | ((F.col("file") == file) & (F.col("pos") >= int(pos)))
+
+
+def is_until(position: str) -> Column:
+    """Whether an event begins before a place, file:position."""
     file, _, pos = position.rpartition(":")
-    return events.where((F.col("file") > file) | ((F.col("file") == file) & (F.col("pos") >= int(pos))))
+    return (F.col("file") < file) | ((F.col("file") == file) & (F.col("pos") < int(pos)))
+
+
+def from_position(events: DataFrame, position: str) -> DataFrame:
+    """Events from a start on: earliest, or file:position."""
+    return events if position == "earliest" else events.where(is_from(position))
 
 
 def end_positions(events: DataFrame) -> DataFrame:
@@ -174,8 +207,7 @@ def end_position(events: DataFrame) -> str | None:
 
 def until_position(events: DataFrame, position: str) -> DataFrame:
     """Events that begin before an end, file:position."""
-    file, _, pos = position.rpartition(":")
-    return events.where((F.col("file") < file) | ((F.col("file") == file) & (F.col("pos") < int(pos))))
+    return events.where(is_until(position))
 
 
 def from_gtid(events: DataFrame, executed: DataFrame) -> DataFrame:
@@ -328,7 +360,7 @@ def event_function(spark: SparkSession, name: str = "binlog_events") -> None:
     @F.udtf(returnType="event_type int, event_name string, pos long, event_length long, gtid string")
     class Events:
         def eval(self, data: bytes):
-            for e in wire.events(bytes(data or b""), decode_rows=False):
+            for e in wire.events(bytes(data or b""), headers=True):
                 yield e["event_type"], e["event_name"], e["pos"], e["event_length"], e["gtid"]
 
     spark.udtf.register(name, Events)
