@@ -68,9 +68,7 @@ def end_of_log(spark, sf_dir):
     """Where the last log ends, and how many events lie before and after that place."""
     events = binlog.decode_logs(logs(spark, sf_dir), "data", "file", decode_rows=False)
     end = binlog.end_position(events)
-    before, after = binlog.until_position(events, end), binlog.from_position(events, end)
-    counted = before.select(F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(after.select(F.lit(0).alias("b"), F.lit(1).alias("a")))
-    return counted.agg(F.lit(end.rpartition(":")[0]).alias("file"), F.sum("b").alias("before"), F.sum("a").alias("after"))
+    return events.agg(F.lit(end.rpartition(":")[0]).alias("file"), F.count_if(binlog.is_until(end)).alias("before"), F.count_if(binlog.is_from(end)).alias("after"))
 
 
 @query(f"""WITH n AS (SELECT count(*) AS n, count(DISTINCT event_id // {CHUNK}) AS logs FROM events)
