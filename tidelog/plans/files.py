@@ -59,7 +59,7 @@ def corrupt_logs(spark, sf_dir):
     """Each log's second event tells a length that can't be: what follows is one row."""
     first = F.expr("conv(hex(substring(data, 17, 1)) || hex(substring(data, 16, 1)) || hex(substring(data, 15, 1)) || hex(substring(data, 14, 1)), 16, 10)").cast("int")
     broken = logs(spark, sf_dir).withColumn("at", first + 4).select("file", F.expr("substring(data, 1, at + 9) || X'03000000' || substring(data, at + 14)").alias("data"))
-    found = binlog.decode_logs(broken, "data", "file")
+    found = binlog.decode_logs(broken, "data", "file", columns=("event_name", "error"))
     return found.groupBy("event_name", F.substring_index("error", " at ", 1).alias("error")).agg(F.count("*").alias("events"))
 
 
