@@ -86,7 +86,7 @@ def own_cell_decoder(spark, sf_dir):
     own = Decoders()
     own.register_type(15, "plain", lambda cursor, column: cursor.take(cursor.uint(2 if column.meta > 255 else 1)).decode(), 1)
     own.register_type(15, "loud", lambda cursor, column: f"<{cursor.take(cursor.uint(2 if column.meta > 255 else 1)).decode().upper()}>", 5)
-    feed = binlog.changes(binlog.decode_logs(logs(spark, sf_dir), "data", "file", types={30}, decoders=own))
+    feed = binlog.changes(binlog.decode_logs(logs(spark, sf_dir), "data", "file", types={30}, decoders=own, columns=binlog.CHANGED["columns"]))
     return binlog.typed(feed.where("op = 'INSERT'"), [("event_id", "bigint"), ("user_id", "string"), ("event_type", "string")], keep=()).drop("user_id")
 
 
