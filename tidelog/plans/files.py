@@ -24,10 +24,13 @@ def _write_files(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+    made: set[str] = set()
     for batch in batches:
         for name, data in zip(batch.column("name").to_pylist(), batch.column("data").to_pylist(), strict=True):
             path = f"{root}/{name}"
-            store.create_dir(path.rpartition("/")[0], recursive=True)
+            if (parent := path.rpartition("/")[0]) not in made:
+                store.create_dir(parent, recursive=True)
+                made.add(parent)
             with store.open_output_stream(path, compression=None) as file:
                 file.write(data)
         yield pa.RecordBatch.from_arrays([batch.column("name")], ["name"])
@@ -40,7 +43,7 @@ def log_files_scan(spark, sf_dir):
     nr = F.substring_index("file", ".", -1).cast("long")
     named = logs(spark, sf_dir).select(F.concat((nr % 2).cast("string"), F.lit("/log."), F.floor(nr / 2).cast("string")).alias("name"), "data")
     named.mapInArrow(lambda batches: _write_files(batches, folder), "name string").count()
-    feed = binlog.changes(binlog.read_logs(spark, folder))
+    feed = binlog.changes(binlog.read_logs(spark, folder, **binlog.CHANGED))
     return feed.groupBy(F.substring_index("file", "/", 1).cast("long").alias("folder"), "op").agg(F.count("*").alias("rows"), F.count_distinct("file").alias("files"))
 
 
@@ -66,7 +69,7 @@ def corrupt_logs(spark, sf_dir):
 @query(f"SELECT 'log.' || lpad((max(event_id) // {CHUNK})::VARCHAR, 6, '0') AS file, (5 * count(*) + count(DISTINCT event_id // {CHUNK}))::BIGINT AS before, 0::BIGINT AS after FROM events")
 def end_of_log(spark, sf_dir):
     """Where the last log ends, and how many events lie before and after that place."""
-    events = binlog.decode_logs(logs(spark, sf_dir), "data", "file", decode_rows=False)
+    events = binlog.decode_logs(logs(spark, sf_dir), "data", "file", columns=("file", "pos", "event_length"))
     end = binlog.end_position(events)
     return events.agg(F.lit(end.rpartition(":")[0]).alias("file"), F.count_if(binlog.is_until(end)).alias("before"), F.count_if(binlog.is_from(end)).alias("after"))
 
