@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STRING_HEADER_BYTES = 24
+SLICE = 1 << 18
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -46,7 +49,20 @@ def _joined(data: pd.Series):
     return np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64), data.isna().to_numpy()
 
 
+def _in_slices(run: Callable[[pd.Series], pd.Series], data: pd.Series) -> pd.Series:
+    """run on slices of a batch, of some SLICE bytes each: its arrays are many times the bytes of what it is given."""
+    import numpy as np
+
+    before = np.cumsum([0, *(0 if x is None else len(x) for x in data)])[:-1]
+    cuts = [0, *(np.flatnonzero(np.diff(before // SLICE)) + 1).tolist(), len(data)]
+    return pd.Series([x for a, b in zip(cuts[:-1], cuts[1:], strict=True) for x in run(data.iloc[a:b].reset_index(drop=True))], dtype=object)
+
+
 def _encode_runs(data: pd.Series) -> pd.Series:
+    return _in_slices(_encoded, data)
+
+
+def _encoded(data: pd.Series) -> pd.Series:
     import numpy as np
 
     x, first, null = _joined(data)
@@ -70,6 +86,10 @@ def run_length_encode(data: Column) -> Column:
 
 
 def _decode_runs(data: pd.Series) -> pd.Series:
+    return _in_slices(_decoded, data)
+
+
+def _decoded(data: pd.Series) -> pd.Series:
     import numpy as np
 
     odd = data.map(lambda x: x is not None and len(x) % 2 == 1).to_numpy(bool)
