@@ -100,6 +100,7 @@ def test_segments(spark, tmp_path):
     table = relay.segment_table(entries, ["table_name"]).orderBy("segment_id").collect()
     assert [(r.first_index, r.entries, r.full) for r in table] == [(1, 100, True), (101, 100, True), (201, 3, False)]
     relay.write(entries, str(tmp_path / "relay"))
+    assert len(list((tmp_path / "relay").rglob("*.parquet"))) == 1  # not one a segment
     back = relay.read(spark, str(tmp_path / "relay"))
     assert back.count() == 203 and back.where("not crc_ok").count() == 0 and back.where("index = 150").first().segment_id == 2
     assert relay.verify(entries.withColumn("payload", F.lit("other"))).where("crc_ok").count() == 0

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidelog.operators.ordered import SPAN, with_interval, with_number, with_running
 
 SEGMENT_ENTRIES, SEGMENT_BYTES, RING = 100, 10 << 20, 1024
+#: Neighbouring segments of a table that are dealt to one task.
+DEALT = 1024
 
 
 def records(feed: DataFrame, database: str, table: str, order: str = "event_id") -> DataFrame:
@@ -74,9 +76,12 @@ def verify(entries: DataFrame) -> DataFrame:
 
 
 def write(entries: DataFrame, path: str) -> None:
-    """Append to partitioned storage: a folder a table and segment, entries in order, at most a segment's entries in a file."""
-    deal = entries.repartition("database_name", "table_name", "segment_id").sortWithinPartitions("database_name", "table_name", "segment_id", "index")
-    deal.write.mode("append").option("maxRecordsPerFile", SEGMENT_ENTRIES).partitionBy("database_name", "table_name", "segment_id").parquet(path)
+    """Append to partitioned storage: a folder a table, entries in order, many segments in a file (its statistics tell which).
+
+    A file for each segment would be as many files as segments, to make, to list and to open.
+    """
+    deal = entries.repartition("database_name", "table_name", F.floor((F.col("segment_id") - 1) / DEALT)).sortWithinPartitions("database_name", "table_name", "segment_id", "index")
+    deal.write.mode("append").partitionBy("database_name", "table_name").parquet(path)
 
 
 def segment_path(database: Column, table: Column, version: Column, segment: Column, first_index: Column) -> Column:
